@@ -18,33 +18,56 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fixed value of the contracts: the white space that separates words, `[\x20\x09-\x0D]`.
 SPACES = b" \t\n\x0b\x0c\r"
 
+#: Arrow bytes that a Python function gets at once.
+SLICE_BYTES = 3 << 20
+#: Arrow bytes that Spark sends to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null becomes empty), so that other columns neither travel nor clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_rows(df: DataFrame, fn: Callable[[list[list]], list[list]], schema: str, columns: list[str] | None = None, chunk_bytes: int = 32 << 20) -> DataFrame:
-    """Run fn(list of column lists) -> list of columns (lists or Arrow arrays) over each Arrow batch.
+def map_rows(df: DataFrame, fn: Callable[[list[list]], list], schema: str, keep: list[str] | None = None, arrow: bool = False) -> DataFrame:
+    """Run fn(list of column lists) -> list of columns (lists or Arrow arrays) over each Arrow batch of df.
 
-    A batch whose Arrow buffers exceed chunk_bytes is handed over in slices, so that very long texts do not
-    multiply in the worker's memory.
+    schema: fn's columns, one row out for each row in. keep: columns of df that go before them as they are (these
+    are not given to fn). arrow: fn gets Arrow arrays instead of lists. Batches are handed over in slices of about
+    SLICE_BYTES, so that long texts do not multiply in the worker's memory.
     """
-    names = columns or df.columns
-    out_schema = arrow_schema(df.sparkSession, schema)
+    bound_batches(df.sparkSession)
+    keep = keep or []
+    names = [n for n in df.columns if n not in keep]
+    made = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.num_rows
-            if not rows:
-                continue
-            step = max(1, min(rows, int(rows * chunk_bytes / max(1, batch.nbytes))))
-            for at in range(0, rows, step):
-                part = batch.slice(at, step)
-                out = fn([part.column(n).to_pylist() for n in names])
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, out_schema, strict=True)], schema=out_schema)
-
-    return df.mapInArrow(run, schema)
+        for part in slices(batches):
+            out = fn([part.column(n) if arrow else part.column(n).to_pylist() for n in names])
+            kept = [part.column(n) for n in keep]
+            yield pa.RecordBatch.from_arrays(
+                kept + [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, made, strict=True)],
+                names=keep + made.names,
+            )
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep]
+    kept.sort(key=lambda x: keep.index(x.split("`")[1]))
+    return df.mapInArrow(run, ", ".join([*kept, schema]))
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark cut its Arrow batches by bytes too, not by rows alone; a smaller limit of the user's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def slices(batches: Iterator[pa.RecordBatch], slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.num_rows
+        step = max(1, min(rows, int(rows * slice_bytes / max(1, batch.nbytes)))) if rows else 1
+        for at in range(0, rows, step):
+            yield batch.slice(at, step)
 
 
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:

@@ -29,7 +29,7 @@ from factloom.llm.arrow_rows import id_text, map_rows
 #: A vocabulary file beyond this size is not broadcast but refused; public ones have 1 to 5 MB.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Encoded space-delimited pieces that a worker remembers; beyond, it keeps those of the batch at hand.
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 250_000
 #: Below so many positions, and beyond so many ranks, merges are replayed one position after another.
 FEW_POSITIONS, FREQUENT_RANKS = 20_000, 12_000
 
@@ -59,9 +59,13 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.key_ranks[at], -1)
 
 
+def ranked_tokens(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+
+
 def from_ranks(raw: bytes) -> Vocabulary:
     """Lines of base64 token and rank: any two neighbours whose bytes together are a token can merge."""
-    ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    ids = ranked_tokens(raw)
     pairs = {}
     for token, rank in ids.items():
         for cut in range(1, len(token)):
@@ -95,6 +99,15 @@ def vocabulary(raw: bytes, kind: str) -> Vocabulary:
     return from_ranks(raw) if kind == "ranks" else from_merges(raw)
 
 
+@lru_cache(maxsize=4)
+def token_bytes(raw: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes, and by id where a token begins and how long it is."""
+    tokens = {i: t for t, i in ranked_tokens(raw).items()} if kind == "ranks" else from_merges(raw).tokens
+    listed = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+    lengths = np.array([len(t) for t in listed], dtype=np.int64)
+    return np.frombuffer(b"".join(listed), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
 def read_vocabulary(path: str) -> tuple[bytes, str]:
     with open(path, "rb") as f:
         raw = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -330,12 +343,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
     raw, kind = read_vocabulary(path)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
-
-    def run(cols):
-        return [cols[0], memory(shared.value, kind, pattern).encode(cols[1])]
-
-    source = id_text(docs, id_col, text_col)
-    return map_rows(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_rows(id_text(docs, id_col, text_col), lambda cols: [memory(shared.value, kind, pattern).encode(cols[0])], "ids array<int>", keep=["doc_id"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -344,11 +352,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(raw)
 
     def run(cols):
-        get = vocabulary(shared.value, kind).tokens.__getitem__
-        return [cols[0], cols[1], [b"".join(map(get, ids or ())) for ids in cols[1]]]
+        return [join_tokens(cols[0], *token_bytes(shared.value, kind))]
+
+    source = encoded.select("doc_id", "ids", F.col("ids").alias("__ids"))
+    return map_rows(source, run, "decoded binary", keep=["doc_id", "ids"], arrow=True)
+
 
-    source = encoded.select("doc_id", "ids")
-    return map_rows(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+def join_tokens(ids: pa.ListArray, blob: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The bytes of each list's tokens, gathered from the vocabulary's bytes."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    long = lengths[flat]
+    ends = np.cumsum(long)
+    data = blob[np.repeat(begins[flat] - (ends - long), long) + np.arange(ends[-1] if len(ends) else 0)]
+    counts = np.array([len(x) if x.is_valid else 0 for x in ids], dtype=np.int64)
+    offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 def digests(decoded: DataFrame) -> DataFrame:

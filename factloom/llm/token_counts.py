@@ -78,9 +78,6 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_
     raw, _ = bpe.read_vocabulary(path)
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
-    def run(cols):
-        return [cols[0], cols[2], counter(shared.value, pattern).count(cols[1])]
-
-    source = id_text(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    out = map_rows(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    source = id_text(docs, id_col, text_col).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    out = map_rows(source, lambda cols: [counter(shared.value, pattern).count(cols[0])], "n_tokens long", keep=["doc_id", "n_bytes"])
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
