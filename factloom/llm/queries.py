@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, token_counts
+from factloom.llm import bpe, decontaminate, lines, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,23 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_level_bpe": op1_byte_level_bpe,
     "op4_token_counts": op4_token_counts,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": decontaminate.ORACLE,
+    "op10_line_dedup": lines.ORACLE,
+}
