@@ -377,3 +377,16 @@ def digests(decoded: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens, and round_trip: whether the decoded bytes are the text's."""
+    raw, kind = read_vocabulary(path)
+    shared = docs.sparkSession.sparkContext.broadcast(raw)
+
+    def run(cols):
+        ids = memory(shared.value, kind, pattern).encode(cols[0])
+        back = join_tokens(ids, *token_bytes(shared.value, kind)).to_pylist()
+        return [ids, np.diff(ids.offsets.to_numpy()).astype(np.int64).tolist(), [b == t.encode() for b, t in zip(back, cols[0], strict=True)]]
+
+    return map_rows(id_text(docs, id_col, text_col), run, "ids array<int>, n_tokens long, round_trip boolean", keep=["doc_id"])
