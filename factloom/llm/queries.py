@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, decontaminate, hpylm, lines, quality, secrets, simhash, token_counts
+from factloom.llm import bpe, decontaminate, hpylm, lines, quality, secrets, simhash, suffixes, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.query(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
