@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, decontaminate, hpylm, lines, quality, secrets, simhash, suffixes, token_counts
+from factloom.llm import bpe, decontaminate, hpylm, lines, media, quality, secrets, simhash, suffixes, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
 
 
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.query(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_level_bpe": op1_byte_level_bpe,
+    "op2_lossless_webp": op2_lossless_webp,
     "op3_lm_scores": op3_lm_scores,
     "op4_token_counts": op4_token_counts,
     "op5_secret_scan": op5_secret_scan,
