@@ -3,11 +3,11 @@
 A byte goes if a string of `length` bytes that covers it also starts earlier (smaller doc_id, or the same document
 and an earlier start). Suffixes are taken at anchors only: of the k-grams of each string of `length` bytes the one
 with the least hash (the leftmost of equals). Equal strings have equal anchors at equal places, so every repeat
-shows at an anchor; k is half of `length`.
+shows at an anchor; k is two fifths of `length`.
 
-Documents come in batches of ascending doc_id. A batch's anchors are sorted by the hash of what follows them (kh: the
-k-gram; ch: all bytes that strings with this anchor can cover) into a suffix table, bucketed by kh. It is
-merge-scanned, bucket by bucket and without a shuffle, against the tables of the earlier batches:
+Documents come in batches of ascending doc_id. A batch's anchors are a sparse suffix array, sorted by the hash of
+what follows them (kh: the k-gram) and the hash of all bytes that strings with this anchor can cover (ch). It is
+merge-scanned against the tables of the earlier batches, dealt over partitions by kh:
 - an anchor whose ch came up before repeats wholly: all strings around it started earlier;
 - an anchor whose ch is new is added; if its kh came up with another ch, both are candidates.
 Tables of equal size are merged, two at a time, before the next batch comes, so that their number grows with the
@@ -20,7 +20,6 @@ document for the order: their common repeats at equal places stay.
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow_rows import map_rows, slices, stored
+from factloom.llm.arrow_rows import map_rows, shared_folder, slices, stored
 
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -111,69 +110,81 @@ def batch_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "kh long, ch long, doc long, pos int")
 
 
+#: Kinds of rows that a merge-scan makes: repeats (doc, pos), new suffixes (all columns), candidates (kh, doc, pos).
+REPEAT, NEW, CANDIDATE = 0, 1, 2
+SUFFIX = "kh long, ch long, doc long, pos int"
+
+
+def merge_scan(batches):
+    """Of one partition's suffixes (kh, ch, doc, pos, old: from a level), sorted together: what is new, what repeats, and the candidates."""
+    table = pa.Table.from_batches(list(batches))
+    if not table.num_rows:
+        return
+    kh, ch, doc, pos, old = (table.column(c).to_numpy() for c in ("kh", "ch", "doc", "pos", "old"))
+    order = np.lexsort((pos, doc, ~old, ch, kh))
+    kh, ch, doc, pos, old = kh[order], ch[order], doc[order], pos[order], old[order]
+    new_group = np.concatenate([[True], kh[1:] != kh[:-1]])
+    first = new_group | np.concatenate([[True], ch[1:] != ch[:-1]])
+    added = first & ~old
+    group = np.cumsum(new_group) - 1
+    # a k-gram with several surroundings, one of them new: all of these are candidates
+    several = (np.bincount(group, weights=first) > 1) & (np.bincount(group, weights=added) > 0)
+    rows = ((REPEAT, ~first & ~old), (NEW, added), (CANDIDATE, first & several[group]))
+    for kind, which in rows:
+        for at in np.array_split(np.flatnonzero(which), max(1, int(which.sum()) // 50_000)):
+            if len(at):
+                nothing = pa.nulls(len(at), pa.int64())
+                k, c = nothing if kind == REPEAT else pa.array(kh[at]), pa.array(ch[at]) if kind == NEW else nothing
+                yield pa.RecordBatch.from_arrays([k, c, pa.array(doc[at]), pa.array(pos[at]), pa.array(np.full(len(at), kind, np.int32))], names=["kh", "ch", "doc", "pos", "kind"])
+
+
 class SuffixFamily:
-    """Suffix tables (kh, ch, doc, pos: of each ch its first place) in levels; level n holds 2**n batches."""
+    """Suffix tables (kh, ch, doc, pos: of each ch its first place), sorted by kh; a table of level n holds 2**n batches."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.levels, self.tables = spark, {}, []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.whole, self.candidates = [], []
-
-    def _table(self, rows: DataFrame, shuffled: bool = True) -> DataFrame:
-        """rows as a table bucketed by kh and sorted."""
-        name = f"suffixes_{uuid.uuid4().hex}"
-        rows = rows.repartition(self.buckets, "kh") if shuffled else rows
-        rows.sortWithinPartitions("kh", "ch").write.bucketBy(self.buckets, "kh").sortBy("kh", "ch").format("parquet").saveAsTable(name)
-        self.tables.append(name)
-        return self.spark.table(name)
-
-    def _drop(self, table_name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {table_name}")
-        self.tables.remove(table_name)
+        self.spark, self.levels = spark, []  # (level, table)
+        self.repeats, self.candidates = [], []
 
     def add(self, found: DataFrame) -> None:
-        """Scan a batch's anchors against all levels and put its new suffixes in as level 0."""
+        """Merge-scan a batch's suffixes with all tables; its new ones become a table of level 0."""
         self._compact()
-        batch = self._table(found)
-        batch_name = self.tables[-1]
-        firsts = batch.groupBy("kh", "ch").agg(F.min(F.struct("doc", "pos")).alias("first"))
-        rows, known = batch.join(firsts, ["kh", "ch"]), F.lit(False)
-        for n, level in enumerate(self.levels.values()):
-            rows = rows.join(level.select("kh", "ch", F.lit(True).alias(f"level{n}")), ["kh", "ch"], "left")
-            known = known | F.col(f"level{n}").isNotNull()
-        again = known | (F.struct("doc", "pos") != F.col("first"))
-        scanned = stored(rows.select("kh", "ch", "doc", "pos", again.alias("again")), "suffix-scan")
-        self._drop(batch_name)
-        self.whole.append(scanned.where("again").select("doc", "pos"))
-        new = self._table(scanned.where("NOT again").select("kh", "ch", "doc", "pos").distinct())
-        repeated = new.groupBy("kh").count().where("count > 1").select("kh")
-        mine = new.join(repeated, "kh", "left_semi").select("kh", "doc", "pos")
-        found_now = [mine]
-        for level in self.levels.values():
-            found_now.append(new.join(level.select("kh"), "kh", "left_semi").select("kh", "doc", "pos"))
-            found_now.append(level.join(new.select("kh"), "kh", "left_semi").select("kh", "doc", "pos"))
-        self.candidates.append(stored(reduce(DataFrame.unionByName, found_now), "suffix-candidates"))
-        self.levels[(0, self.tables[-1])] = new
+        rows = found.withColumn("old", F.lit(False))
+        for _, level in self.levels:
+            rows = rows.unionByName(level.withColumn("old", F.lit(True)))
+        path = shared_folder(self.spark, "suffixes")
+        scanned = rows.repartition("kh").mapInArrow(merge_scan, f"{SUFFIX}, kind int")
+        scanned.write.partitionBy("kind").parquet(path)
+        part = lambda kind: self.spark.read.schema(f"{SUFFIX}, kind int").parquet(path).where(F.col("kind") == kind)
+        self.repeats.append(part(REPEAT).select("doc", "pos"))
+        self.candidates.append(part(CANDIDATE).select("kh", "doc", "pos"))
+        new = self.spark.createDataFrame([], SUFFIX) if part(NEW).isEmpty() else self.spark.read.schema(SUFFIX).parquet(f"{path}/kind={NEW}")
+        self.levels.append((0, new))
 
     def _compact(self) -> None:
-        """Merge tables of one level into one of the next while two are there."""
+        """Merge two tables of one level into one of the next, as long as there are two."""
         while True:
-            by_level: dict[int, list] = {}
-            for key in self.levels:
-                by_level.setdefault(key[0], []).append(key)
-            pair = next((keys[:2] for _, keys in sorted(by_level.items()) if len(keys) > 1), None)
-            if pair is None:
+            numbers = [n for n, _ in self.levels]
+            n = next((n for n in sorted(set(numbers)) if numbers.count(n) > 1), None)
+            if n is None:
                 return
-            merged = self._table(self.levels[pair[0]].unionByName(self.levels[pair[1]]))
-            self.levels[(pair[0][0] + 1, self.tables[-1])] = merged
-            for key in pair:
-                del self.levels[key]
-                self._drop(key[1])
+            pair = [x for x in self.levels if x[0] == n][:2]
+            merged = stored(pair[0][1].unionByName(pair[1][1]).repartition("kh"), f"suffixes-level-{n + 1}", sort_by="kh")
+            self.levels = [x for x in self.levels if x not in pair] + [(n + 1, merged)]
+            for _, table in pair:
+                drop_files(table)
 
     def close(self) -> None:
-        for name in list(self.tables):
-            self._drop(name)
-        self.levels.clear()
+        for _, table in self.levels:
+            drop_files(table)
+        self.levels = []
+
+
+def drop_files(table: DataFrame) -> None:
+    """Delete the files of a table of new suffixes (its repeats and candidates stay)."""
+    spark = table.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def surroundings(docs: DataFrame, candidates: DataFrame, length: int, k: int) -> DataFrame:
@@ -227,18 +238,21 @@ def repeats(near: DataFrame, length: int, k: int) -> DataFrame:
         doc, pos, before, around = doc[order], pos[order].astype(np.int64), before[order].astype(np.int64), [around[i] for i in order]
         for own in blocks(table.column("kh").to_numpy()[order]):
             which, o, h = strings([around[i] for i in own], before[own], length, width)
+            # strings that show once only are dropped before places are compared
+            by = np.argsort(h)
+            same = h[by[1:]] == h[by[:-1]]
+            by = by[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
             # a string can show at several anchors: all places but its first one start later
-            w = own[which]
-            place = np.cumsum(np.concatenate([[0], doc[own][1:] != doc[own][:-1]]))[which] << 32 | (pos[w] - o)
+            w, h = own[which[by]], h[by]
+            place = np.cumsum(np.concatenate([[0], doc[own][1:] != doc[own][:-1]]))[which[by]] << 32 | (pos[w] - o[by])
             by = np.lexsort((place, h))
             h, place, w = h[by], place[by], w[by]
-            group = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            group = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
             later = place != np.repeat(place[group], np.diff([*group, len(h)]))
-            start = (place[later] & 0xFFFFFFFF).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[w[later]]), pa.array(start), pa.array((start + length).astype(np.int32))], names=["doc", "start", "stop"])
+            doc_of, start, stop = unite(doc[w[later]], place[later] & 0xFFFFFFFF, (place[later] & 0xFFFFFFFF) + length)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_of), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["doc", "start", "stop"])
 
     found = some.repartition("kh").mapInArrow(within, "doc long, start int, stop int")
-    found = merged_stretches(found)
     if crowded.isEmpty():
         return found
 
@@ -281,13 +295,15 @@ def merged_stretches(rows: DataFrame) -> DataFrame:
 def unite(doc: np.ndarray, start: np.ndarray, stop: np.ndarray):
     order = np.lexsort((start, doc))
     doc, start, stop = doc[order], start[order].astype(np.int64), stop[order].astype(np.int64)
+    if not len(doc):
+        return doc, start, stop
     new = np.concatenate([[True], doc[1:] != doc[:-1]])
     # running ends within a document: lift each document above the one before
     lift = np.cumsum(new) << 33
     reach = np.maximum.accumulate(stop + lift) - lift
     new[1:] |= start[1:] > reach[:-1]
     first = np.flatnonzero(new)
-    return doc[first], start[first], np.maximum.reduceat(stop, first) if len(first) else stop
+    return doc[first], start[first], np.maximum.reduceat(stop, first)
 
 
 def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
@@ -298,17 +314,17 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
 
 def repeated_stretches(docs: DataFrame, length: int = 100, batches: int = 4) -> DataFrame:
     """doc, start, stop (bytes) of all stretches of docs (doc_id long, text) to remove; a document's may overlap."""
-    k = length // 2
+    k = max(1, length * 2 // 5)
     family = SuffixFamily(docs.sparkSession)
     bounds = [None, *batch_bounds(docs, batches), None]
     for low, high in zip(bounds, bounds[1:], strict=False):
         here = docs.where(F.col("doc_id").isNotNull() if low is None else F.col("doc_id") >= low)
         family.add(batch_anchors(here if high is None else here.where(F.col("doc_id") < high), length, k))
-    whole = reduce(DataFrame.unionByName, family.whole).select("doc", (F.col("pos") - (length - k)).alias("start"), (F.col("pos") + length).alias("stop"))
+    whole = reduce(DataFrame.unionByName, family.repeats).select("doc", (F.col("pos") - (length - k)).alias("start"), (F.col("pos") + length).alias("stop"))
     candidates = reduce(DataFrame.unionByName, family.candidates).distinct()
     family.close()
     near = stored(surroundings(docs, candidates, length, k), "suffix-near")
-    return merged_stretches(whole).unionByName(repeats(near, length, k))
+    return whole.unionByName(repeats(near, length, k))
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
