@@ -92,7 +92,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     )
     gone = stored(gone, "line-gone")
     taken = {"n_lines", "n_dropped"}
-    source = docs.select([c for c in docs.columns if c not in taken]).withColumnRenamed(text_col, "__text").join(gone, id_col, "left")
+    source = docs.select([c for c in docs.columns if c not in taken]).withColumnRenamed(text_col, "__text")
+    # a merge join at every size: the plan of a small table is the plan of a large one
+    source = source.join(gone.hint("merge"), id_col, "left")
 
     def run(cols):
         texts, gones = cols

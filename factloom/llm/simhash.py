@@ -273,7 +273,8 @@ def keep_one(docs: DataFrame, size: int = 5, words: int = 4, bits: int = 32, bud
     """
     found = near_duplicates(docs.select("doc_id", text_col), size, words, bits, budget, blocks, total, text_col=text_col)
     gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # a merge join at every size: the plan of a small table is the plan of a large one
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
