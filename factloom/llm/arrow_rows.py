@@ -55,6 +55,12 @@ def map_rows(df: DataFrame, fn: Callable[[list[list]], list], schema: str, keep:
     return df.mapInArrow(run, ", ".join([*kept, schema]))
 
 
+def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """All of a partition's rows; None where there are none."""
+    found = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(found) if found else None
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Have Spark cut its Arrow batches by bytes too, not by rows alone; a smaller limit of the user's stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow_rows import ASCII_LOWER, id_text, map_rows, stored
+from factloom.llm.arrow_rows import ASCII_LOWER, id_text, map_rows, stored, whole
 from factloom.llm.components import components
 
 SEED = 42
@@ -226,8 +226,8 @@ def near_links(distinct: DataFrame, tries: Tries, total: int) -> DataFrame:
         todo = todo.unionByName(more)
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        table = whole(batches)
+        if table is None:
             return
         node, side, spent, rest, rep = (table.column(c).combine_chunks().to_numpy() for c in ("node", "side", "spent", "rest", "rep"))
         rest = rest.view(np.uint64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow_rows import map_rows, shared_folder, slices, stored
+from factloom.llm.arrow_rows import map_rows, shared_folder, slices, stored, whole
 
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -117,8 +117,8 @@ SUFFIX = "kh long, ch long, doc long, pos int"
 
 def merge_scan(batches):
     """Of one partition's suffixes (kh, ch, doc, pos, old: from a level), sorted together: what is new, what repeats, and the candidates."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    table = whole(batches)
+    if table is None:
         return
     kh, ch, doc, pos, old = (table.column(c).to_numpy() for c in ("kh", "ch", "doc", "pos", "old"))
     order = np.lexsort((pos, doc, ~old, ch, kh))
@@ -229,8 +229,8 @@ def repeats(near: DataFrame, length: int, k: int) -> DataFrame:
     some = near.join(crowded, "kh", "left_anti")
 
     def within(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        table = whole(batches)
+        if table is None:
             return
         doc, pos, before = (table.column(c).to_numpy() for c in ("doc", "pos", "before"))
         order = np.lexsort((pos, doc))
