@@ -24,12 +24,13 @@ RELATION = "struct<source:string,target:string,type:string,evidence:string,confi
 def parse_reply(reply: str | None) -> dict | None:
     """The JSON object of a reply: code fences taken off, else the first object in it."""
     bare = re.sub(r"\A\s*```(?:json)?\s*|\s*```\s*\Z", "", (reply or "").strip(), flags=re.I)
-    for candidate in (bare, bare[bare.find("{") :] if "{" in bare else ""):
+    readers = (json.loads, lambda x: json.JSONDecoder().raw_decode(x, x.index("{"))[0])
+    for read in readers:
         try:
-            value = json.JSONDecoder().raw_decode(candidate)[0] if candidate is not bare else json.loads(candidate)
-            return value if isinstance(value, dict) else None
+            value = read(bare)
         except ValueError:
             continue
+        return value if isinstance(value, dict) else None
     return None
 
 

@@ -82,10 +82,13 @@ def align(mentions: DataFrame, closure: DataFrame | None = None, threshold: floa
     roots = _components(keys.select(F.col("id").alias("node")), links)
     placed = stored(own.join(roots.withColumnRenamed("node", "first"), "first").select("pos", "first", "root"), "alignment-roots")
     sizes = roots.groupBy("root").count()
-    alone = placed.join(sizes.where("count = 1").select("root"), "root")
+    # nodes of an earlier graph (pos below zero) stay apart even where they share a key
+    crowded = placed.where("pos < 0").groupBy("root").count().where("count > 1").select("root")
+    single = stored(sizes.where("count = 1").select("root").join(crowded, "root", "left_anti"), "alignment-single")
+    alone = placed.join(single, "root")
     simple = alone.select("pos", F.min("pos").over(W.partitionBy("root")).alias("node"))
     canon = keyed.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "canonical"))), lambda x: x["canonical"]).alias("keys"))
-    complex_ = placed.join(sizes.where("count > 1").select("root"), "root").join(rows.select("pos", "type", "attributes", "confidence"), "pos").join(canon, "pos")
+    complex_ = placed.join(single, "root", "left_anti").join(rows.select("pos", "type", "attributes", "confidence"), "pos").join(canon, "pos")
 
     def replay(part: pd.DataFrame) -> pd.DataFrame:
         owner: dict[str, int] = {}
@@ -93,8 +96,8 @@ def align(mentions: DataFrame, closure: DataFrame | None = None, threshold: floa
         out = []
         for m in part.sort_values("pos").itertuples():
             given = dict(m.attributes or {})
-            node = next((owner[k] for k in m.keys if k in owner), None)
-            if node is None and len(m.keys[0]) >= 5:
+            node = None if m.pos < 0 else next((owner[k] for k in m.keys if k in owner), None)
+            if node is None and m.pos >= 0 and len(m.keys[0]) >= 5:
                 for at, (key, have) in nodes.items():
                     if len(key) >= 5 and gestalt(m.keys[0], key) >= threshold and not any(k in have and have[k][0] != v and have[k][1] >= m.confidence for k, v in given.items()):
                         node = at
@@ -209,7 +212,7 @@ def build(mentions: DataFrame, relations: DataFrame, rules: DataFrame, synonyms:
 def nodes_as_mentions(nodes: DataFrame) -> DataFrame:
     """Nodes of an earlier graph as mentions that come before all others (pos below zero, in the order of ids)."""
     attributes = F.transform_values("attributes", lambda k, v: v["value"])
-    return numbered(nodes.drop("id").withColumn("__old", nodes["id"]), "__old", "").select(
+    return numbered(nodes.withColumnRenamed("id", "__old"), "__old", "").select(
         (F.col("id").cast("long") - 1_000_000_000_000).alias("pos"), F.lit(-1).cast("long").alias("extraction"), "name", "type", "aliases", attributes.alias("attributes"), "confidence",
         F.element_at("chunks", 1).alias("chunk_id"), F.col("__old").alias("id"),
     )

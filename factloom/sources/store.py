@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from factloom.functions.ontology import ENTITY_TYPES, RELATIONS
 from factloom.functions.text import leaks
@@ -30,9 +31,11 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
 
 def changed(current: DataFrame, previous: DataFrame, key: str = "id") -> DataFrame:
     """Rows of current that previous lacks or has otherwise."""
-    columns = [c for c in current.columns if c != key]
-    old = previous.select(key, F.struct(*columns).alias("__old"))
-    return current.join(old, key, "left").where(~F.struct(*columns).eqNullSafe(F.col("__old"))).select(current.columns)
+    maps = {f.name for f in current.schema if isinstance(f.dataType, MapType)}
+    # maps have no equality: their sorted entries have
+    whole = F.struct(*[(F.array_sort(F.map_entries(c)) if c in maps else F.col(c)).alias(c) for c in current.columns if c != key])
+    old = previous.select(key, whole.alias("__old"))
+    return current.withColumn("__new", whole).join(old, key, "left").where(~F.col("__new").eqNullSafe(F.col("__old"))).select(current.columns)
 
 
 def upsert(stored_rows: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
