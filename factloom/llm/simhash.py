@@ -141,7 +141,8 @@ def take_apart(rows: DataFrame, budget: int) -> DataFrame:
 
 
 def traverse(starts: np.ndarray, sides: np.ndarray, spent: np.ndarray, rest: np.ndarray, budget: int):
-    """Pairs of positions whose nodes' differing bits stay within the budget; rows are sorted by (node, side, rest).
+    """Pairs of positions (two arrays) whose nodes' differing bits stay within the budget, and sets of positions
+    (one array, and None) any two of which are such pairs; rows are sorted by (node, side, rest).
 
     starts: where each (node, side) begins, and the end; sides and spent: of each of them.
     """
@@ -159,9 +160,12 @@ def traverse(starts: np.ndarray, sides: np.ndarray, spent: np.ndarray, rest: np.
         alo, ahi, blo, bhi, err, same = (x[live] for x in (alo, ahi, blo, bhi, err, same))
         if not len(alo):
             return
-        leaf = (ahi - alo) * (bhi - blo) <= LEAF_PAIRS if depth < 64 else np.ones(len(alo), dtype=bool)
+        leaf = (ahi - alo) * (bhi - blo) <= LEAF_PAIRS
         if leaf.any():
             yield from pairs_of(alo[leaf], ahi[leaf], blo[leaf], bhi[leaf])
+        if depth == 64:  # what is left agrees in all bits of the trie
+            for a in zip(*(x[~leaf].tolist() for x in (alo, ahi, blo, bhi)), strict=True):
+                yield np.unique(np.concatenate([np.arange(*a[:2]), np.arange(*a[2:])])), None
         if depth == 64 or leaf.all():
             return
         alo, ahi, blo, bhi, err, same = (x[~leaf] for x in (alo, ahi, blo, bhi, err, same))
@@ -191,20 +195,43 @@ def pairs_of(alo, ahi, blo, bhi, most: int = 1 << 20):
 
 
 def forest(n: int, candidates, near) -> np.ndarray:
-    """The smallest position that each of n positions is linked to; of the candidate pairs (arrays of positions), those not yet connected are linked if near() says so."""
+    """The smallest position that each of n positions is linked to.
+
+    Of the candidates (arrays i and j of pairs, or a set i and None) those not yet connected are linked if near() says so.
+    """
     root = np.arange(n)
     for i, j in candidates:
+        if j is None:
+            root = link_set(root, np.unique(i), near)
+        else:
+            apart = root[i] != root[j]
+            root = link(root, i[apart], j[apart], near)
+    return root
+
+
+def link(root: np.ndarray, i: np.ndarray, j: np.ndarray, near) -> np.ndarray:
+    keep = near(i, j)
+    i, j = i[keep], j[keep]
+    while len(i):
+        a, b = root[i], root[j]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
         apart = root[i] != root[j]
         i, j = i[apart], j[apart]
-        keep = near(i, j)
-        i, j = i[keep], j[keep]
-        while len(i):
-            a, b = root[i], root[j]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(up := root[root], root):
-                root = up
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
+    return root
+
+
+def link_set(root: np.ndarray, members: np.ndarray, near) -> np.ndarray:
+    """All links between members: each is compared with those that are not connected to the first one's class, which in a group of near copies are soon none."""
+    rest = members[1:]
+    for m in members:
+        open_ = rest[root[rest] != root[m]]
+        if len(open_):
+            root = link(root, np.full(len(open_), m), open_, near)
+        rest = rest[root[rest] != root[members[0]]]
+        if not len(rest):
+            break
     return root
 
 
@@ -212,13 +239,15 @@ def near_links(distinct: DataFrame, tries: Tries, total: int) -> DataFrame:
     """a, b: a forest of the links between the rows of distinct (rep long, fp array<long>) that differ in at most total bits."""
     budget = tries.budget
     rows = stored(trie_rows(distinct, tries), "trie-rows")
-    ready = []
+    ready, taken = [], 0
     while True:
         sizes = rows.groupBy("node").count()
         large = stored(sizes.where(F.col("count") > NODE_LIMIT).select("node"), "trie-large")
-        if large.isEmpty():
+        # fingerprints that agree in all bits of a trie cannot be taken apart by them: link_set() bounds their work
+        if taken >= tries.bits or large.isEmpty():
             ready.append(rows)
             break
+        taken += STEP_BITS
         ready.append(rows.join(large, "node", "left_anti"))
         rows = stored(take_apart(rows.join(large, "node", "left_semi"), budget), "trie-rows")
     todo = ready[0]
@@ -243,7 +272,7 @@ def near_links(distinct: DataFrame, tries: Tries, total: int) -> DataFrame:
         reps, at, place = np.unique(rep, return_index=True, return_inverse=True)
         words = words[at]
         found = traverse(np.concatenate([first, [len(node)]]), sides, spent[first], rest, budget)
-        root = forest(len(reps), ((place[i], place[j]) for i, j in found), lambda i, j: np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= total)
+        root = forest(len(reps), ((place[i], None if j is None else place[j]) for i, j in found), lambda i, j: np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= total)
         moved = np.flatnonzero(root != np.arange(len(reps)))
         if len(moved):
             yield pa.RecordBatch.from_arrays([pa.array(reps[root[moved]]), pa.array(reps[moved])], names=["a", "b"])
