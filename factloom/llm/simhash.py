@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.arrow_rows import ASCII_LOWER, id_text, map_rows, stored, whole
@@ -55,7 +56,10 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprint(text: str | None, size: int, words: int = 1) -> list[int]:
     """words 64-bit words, as signed numbers."""
-    h = shingle_hashes(text, size)
+    return sketch(shingle_hashes(text, size), words)
+
+
+def sketch(h: np.ndarray, words: int) -> list[int]:
     out = []
     for k in range(words):
         mixed = h
@@ -280,13 +284,100 @@ def near_links(distinct: DataFrame, tries: Tries, total: int) -> DataFrame:
     return todo.repartition("node").mapInArrow(run, "a long, b long")
 
 
+#: Least similarity of shingle sets at which fingerprints of several words are near duplicates, and of how many
+#: MinHash values how many bands consist: a pair of similarity 0.8 misses all bands with a probability of 0.0002.
+LEAST, BAND, BANDS = 0.8, 4, 16
+
+
+def sketches(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """doc_id, fp (of distinct shingles), whole (a hash of the set of shingles), bands array<long>."""
+    rng = np.random.default_rng(SEED)
+    odd, plus = (rng.integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+    def run(cols):
+        out = [[], [], []]
+        for text in cols[0]:
+            h = np.unique(shingle_hashes(text, size))
+            out[0].append(sketch(h, words))
+            out[1].append(xxhash.xxh3_128_digest(h.tobytes()))
+            if len(h):
+                least = np.full(BAND * BANDS, np.uint64(0xFFFFFFFFFFFFFFFF))
+                for k in range(BAND * BANDS):
+                    mixed = (h ^ plus[k]) * odd[k]
+                    mixed ^= mixed >> np.uint64(32)
+                    least[k] = (mixed * odd[k]).min()
+                out[2].append([xxhash.xxh64_intdigest(bytes([k]) + least[k * BAND : (k + 1) * BAND].tobytes()) - (1 << 63) for k in range(BANDS)])
+            else:
+                out[2].append([])
+        return out
+
+    return map_rows(id_text(docs), run, "fp array<long>, whole binary, bands array<long>", keep=["doc_id"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b: those of the pairs whose sets of shingles have at least this similarity, exactly."""
+    pairs = stored(pairs, "near-pairs")
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    some = sets.join(ids, "rep", "left_semi")
+    own = lambda side: some.select(F.col("rep").alias(side), F.col("shingles").alias(f"{side}_set"))
+    met = pairs.join(own("a"), "a").join(own("b"), "b")
+    both, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
+    return met.where((both >= least * (total - both)) | (total == 0)).select("a", "b")
+
+
+def verified_links(distinct: DataFrame, texts: DataFrame, size: int, tries: Tries, total: int, least: float) -> DataFrame:
+    """a, b: links between the rows of distinct (rep, fp, bands) that connect all candidates of at least this similarity.
+
+    Candidates are the forest of near fingerprints and all pairs with a band in common. Bands are gone through by
+    distance of place, further each round; in a band only those are compared that are not connected yet, so a group
+    of near copies is connected by about as many comparisons as it has members. Sets are made of candidates only.
+    """
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    first = stored(near_links(distinct.select("fp", "rep"), tries, total).select(*ends).distinct(), "near-first")
+    row = W.partitionBy("band").orderBy("rep")
+    places = distinct.select("rep", F.explode("bands").alias("band")).withColumn("place", F.row_number().over(row))
+    places = stored(places.withColumn("n", F.count("*").over(W.partitionBy("band"))).where("n > 1"), "near-bands")
+    ids = places.select("rep").union(first.select("a")).union(first.select("b")).distinct().withColumnRenamed("rep", "doc_id")
+    some = texts.join(ids.hint("merge"), "doc_id", "left_semi")
+    sets = map_rows(id_text(some), lambda cols: [[np.unique(shingle_hashes(t, size)).view(np.int64) for t in cols[0]]], "shingles array<long>", keep=["doc_id"])
+    sets = stored(sets.withColumnRenamed("doc_id", "rep"), "shingle-sets")
+    links = stored(similar(first, sets, least), "near-verified")
+    low, high = 1, 2
+    while True:
+        classes = components(links)
+        classed = places.join(classes.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", "band", "place", "n", F.coalesce("root", "rep").alias("class"))
+        spread = classed.groupBy("band", "class").agg(F.count("*").alias("m")).groupBy("band").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("m", "class")).alias("main"))
+        open_ = stored(classed.join(spread.where("classes > 1").hint("merge"), "band"), "near-open")
+        most = open_.agg(F.max("n")).first()[0]
+        if most is None or low >= most:
+            return links
+        # of two places of different classes at least one is not of the band's main class: that one asks, both ways
+        asks = open_.where("class <> main")
+        way = lambda sign: F.sequence(F.col("place") + sign * low, F.col("place") + sign * (high - 1))
+        asked = asks.select(F.col("rep").alias("a"), F.col("class").alias("own"), "band", F.explode(F.filter(F.concat(way(1), way(-1)), lambda p: (p >= 1) & (p <= F.col("n")))).alias("place"))
+        met = asked.join(open_.select(F.col("rep").alias("b"), F.col("class").alias("other"), "band", "place").hint("merge"), ["band", "place"]).where("own <> other")
+        links = stored(links.unionByName(similar(met.select(*ends).distinct(), sets, least)), "near-verified")
+        low, high = high, high * 8
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, bits: int = 64, budget: int = 2, blocks: int = 4, total: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp array<long>, component_id: the smallest doc_id reachable over links.
 
-    With words=1, bits=64 and budget=total, fingerprints link at `total` or fewer differing bits, exactly. With more
-    words, each part of `bits` bits is a trie of its own, and pairs that one of them brings up link if all words
-    together differ in at most total bits. Shuffled are ids and fingerprints, never texts; doc_id is a whole number.
+    With words=1, bits=64 and budget=total, fingerprints link at `total` or fewer differing bits, exactly; shuffled
+    are ids and fingerprints, never texts. With more words, fingerprints are of distinct shingles, each part of `bits`
+    bits is a trie of its own, and pairs that one of them brings up are candidates if all words together differ in at
+    most total bits; so are pairs with a MinHash band in common. Candidates link if their sets of shingles have a
+    similarity of LEAST or more, counted exactly; shuffled are candidates' texts and sets of shingle hashes too. doc_id is a whole number.
     """
+    if words > 1:
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        marked = stored(sketches(texts, size, words), "sketches")
+        distinct = stored(marked.where("doc_id IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("rep")), "sets-distinct")
+        first = distinct.withColumn("doc_id", F.col("rep")).hint("merge")
+        own = marked.join(first, ["whole", "doc_id"]).dropDuplicates(["whole", "doc_id"]).select("rep", "fp", "bands")
+        roots = components(verified_links(stored(own, "sketches-distinct"), texts, size, Tries(words, bits, budget, blocks), total, LEAST))
+        classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("whole", F.coalesce("root", "rep").alias("component_id"))
+        return marked.select("doc_id", "fp", "whole").join(stored(classes, "set-classes"), "whole", "left").select("doc_id", "fp", "component_id")
     marked = stored(fingerprints(docs, size, words, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
     distinct = stored(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints-distinct")
     roots = components(near_links(distinct, Tries(words, bits, budget, blocks), total))
@@ -297,8 +388,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, bits: int =
 def keep_one(docs: DataFrame, size: int = 5, words: int = 4, bits: int = 32, budget: int = 3, blocks: int = 4, total: int = 46, text_col: str = "text") -> DataFrame:
     """docs without those that a smaller doc_id stands for; all columns as they are.
 
-    Five-word shingles and 256 bits: at a similarity of 0.8 shingle sets of one size have a cosine of 0.89 and differ
-    in 39 bits on average; 46 leaves room for chance, while unrelated texts differ in 128.
+    Near duplicates share 0.8 of their distinct five-word shingles, counted exactly. Candidates come by 256 bits (at 0.8
+    sets of one size have a cosine of 0.89 and differ in 39 bits on average, unrelated ones in 128) and by bands.
     """
     found = near_duplicates(docs.select("doc_id", text_col), size, words, bits, budget, blocks, total, text_col=text_col)
     gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-gone")

@@ -135,6 +135,30 @@ def test_near_copies_leave_one(spark):
     assert sorted(r["g"] for r in kept) == list(range(15)) and all(r["doc_id"] % 4 == 0 for r in kept)
 
 
+def test_near_copies_are_those_of_similar_shingle_sets(spark):
+    """Pairs on both sides of 0.8, and long texts of one repeated form that share little else."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for g in range(60):
+        words = [word() for _ in range(200)]
+        other = list(words)
+        for at in rng.sample(range(4, 196, 6), 3 + g % 8):
+            other[at] = word()
+        texts += [" ".join(words), " ".join(other)]
+    form = [word() for _ in range(12)]
+    texts += [" ".join([*(word() for _ in range(200)), *form * 60]) for _ in range(2)]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if near(sets[a], sets[b]):
+                root = [root[a] if x == root[b] else x for x in root]
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(root) and 60 < len(set(root)) < 122
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(24)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
