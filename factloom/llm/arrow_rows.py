@@ -62,9 +62,10 @@ def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Have Spark cut its Arrow batches by bytes too, not by rows alone; a smaller limit of the user's stays."""
+    """Have Spark cut its Arrow batches by bytes too, not by rows alone: the session's setting is lowered for good; a smaller limit of the user's stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(-?\d+)([bkmgtp]?)b?", spark.conf.get(name).strip().lower()).groups()
+    if not 0 < int(number) << 10 * "bkmgtp".index(unit or "b") <= BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
@@ -88,11 +89,13 @@ def sha(data: bytes) -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the checkpoint folder that the cluster names; one is set only where none is."""
+    """A fresh folder under the checkpoint folder that the cluster names; where none is, one is set on a local master only."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(base)
@@ -108,8 +111,24 @@ def stored(df: DataFrame, name: str, sort_by: str | None = None) -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Remove a table that stored() wrote, through the file system of its path."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if re.search(r"-[0-9a-f]{32}$", folder):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            drop_folder(df.sparkSession, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    fs, path = file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def file_system(spark: SparkSession, folder: str):
+    """The file system of a folder, and the folder's path in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """name, with underlines until none of the tables has such a column."""
+    while any(name.lower() == c.lower() for t in tables for c in t.columns):
+        name += "_"
+    return name

@@ -1,24 +1,28 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
-A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends, A-Z lower-cased. Each batch of documents adds
-one run, sorted by key hash, of (hash, number of documents, largest doc_id). Runs of one level are merged into one
-of the next whenever `fanout` of them have gathered. Whether a line goes depends on documents of every batch (the
-count, and the largest id), so the merge-anti-join of lines against runs happens once all batches are in.
+A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends, A-Z lower-cased. Each batch of documents is
+merge-anti-joined with the runs that are there, which tells lines that are new from lines that some earlier batch had,
+and adds its own run, sorted by key hash: (hash, number of documents, largest doc_id, whether it was new). Full levels
+are compacted into the next. The runs are a family of levels (levels.py) that a later call can open and go on with.
 
-Null and empty texts are one empty line. Documents without an id are not counted and keep their lines; rows that
-share an id count once each and are treated alike. Hashes have 128 bits.
+Whether a line goes depends on documents of every batch (their number, and the largest id), so documents are rewritten
+once all batches are in.
+
+Null and empty texts are one empty line. Documents without an id are not counted and keep their lines. Rows that share
+an id are one document: they count once and are treated alike; they have to come in one batch. Hashes have 128 bits.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow_rows import ASCII_LOWER, SPACES, drop_stored, map_rows, shared_folder, stored
+from factloom.llm.arrow_rows import ASCII_LOWER, SPACES, drop_folder, drop_stored, free_name, map_rows, shared_folder, stored
+from factloom.llm.levels import Levels, merged_by
 
+#: A key is hot if it has more rows than this, and more than one in so many of all rows: at most HOT_SHARE keys of 16 bytes, which are broadcast.
+HOT_ROWS, HOT_SHARE = 10_000, 1_000_000
 _STRIP = SPACES.decode()
 
 
@@ -40,61 +44,80 @@ def line_keys(docs: DataFrame, min_chars: int, batches: int, id_col: str = "doc_
 
 
 class LineRuns:
-    """Levels of sorted runs in the shared folder; level n holds at most fanout - 1 runs of about fanout**n batches."""
+    """Levels of sorted runs of (key, n_docs, last_doc, new); folder: of a family to go on with."""
 
-    def __init__(self, fanout: int = 2):
-        self.fanout, self.levels = fanout, []
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 2):
+        self.levels = Levels(spark, "key", folder, fanout)
 
     def add(self, keys: DataFrame) -> None:
-        """Put a batch's keys (doc_id, key) in as a run of level 0, then compact full levels."""
-        self._put(0, keys.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            runs, self.levels[level] = self.levels[level], []
-            self._put(level + 1, merge_runs(runs))
-            for r in runs:
-                drop_stored(r)
-            level += 1
-
-    def _put(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(stored(run, f"line-run-{level}", sort_by="key"))
+        """Put a batch's keys (doc_id, key) in: a document counts once for a key."""
+        batch = keys.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        found = F.lit(False)
+        for k, run in enumerate(self.levels.tables()):
+            batch = batch.hint("merge").join(run.select("key", F.lit(True).alias(f"in_{k}")), "key", "left")
+            found = found | F.coalesce(f"in_{k}", F.lit(False))
+        self.levels.add(batch.select("key", "n_docs", "last_doc", (~found).alias("new")), merge_runs)
 
     def merged(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return merge_runs(runs) if runs else None
+        """All runs as one."""
+        self.levels.compact(merge_runs, all_runs=True)
+        return self.levels.tables()[0] if self.levels.runs else None
+
+
+#: The merge join of two runs. A key has its documents counted over both, and was new in one of them.
+merge_runs = merged_by(
+    "key", n_docs=lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), last_doc=F.greatest,
+    new=lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)),
+)
 
 
-def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    both = reduce(DataFrame.unionByName, runs)
-    return both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")) if len(runs) > 1 else both
+def new_lines(runs: LineRuns, keys: DataFrame) -> DataFrame:
+    """The keys (doc_id, key) of a batch, before it is added, that no earlier batch had."""
+    for run in runs.levels.tables():
+        keys = keys.join(run.hint("merge"), "key", "left_anti")
+    return keys
+
+
+def dropped_lines(keys: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Of keys (doc_id, key), those that are frequent (key, n_docs, last_doc) and stand in another document than the last.
+
+    Hot keys are few by their share of the rows; they are broadcast, so no task gets all rows of one.
+    """
+    rows = keys.count()
+    bound = max(HOT_ROWS, rows // HOT_SHARE)
+    hot = frequent.where(F.col("n_docs") > bound).select("key", "last_doc")
+    other = frequent.where(F.col("n_docs") <= bound).select("key", "last_doc")
+    light = keys.join(F.broadcast(hot.select("key")), "key", "left_anti").join(other.hint("merge"), "key")
+    return keys.join(F.broadcast(hot), "key").unionByName(light).where(F.col("doc_id") != F.col("last_doc")).select("doc_id", "key")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """docs with the text rewritten, and n_lines, n_dropped (long; they replace columns of those names).
 
-    Lines whose key stands in at least min_docs documents are dropped everywhere but in the largest id.
-    Shuffles: the 16-byte keys (combined on the map side into runs), and the texts once, by id.
+    Lines whose key stands in at least min_docs documents are dropped everywhere but in the largest id. folder: of a
+    family of runs (an earlier call's, or to begin); docs are then added to it, lines of documents of earlier calls
+    count too, and the family stays. Shuffles: the 16-byte keys, and the texts once, by id.
     """
     spark = docs.sparkSession
     path = shared_folder(spark, "line-keys")
     keys = line_keys(docs, min_chars, batches, id_col, text_col)
     keys.write.partitionBy("batch").parquet(path)
     keys = spark.read.schema(keys.schema).parquet(path)
-    runs = LineRuns(fanout)
+    runs = LineRuns(spark, folder, fanout)
     for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).select("doc_id", "key"))
-    frequent = stored(runs.merged().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "line-frequent")
-    gone = (
-        keys.select("doc_id", "key").join(frequent, "key").where(F.col("doc_id") != F.col("last_doc"))
-        .groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_set("key").alias("__gone"))
-    )
-    gone = stored(gone, "line-gone")
+    frequent = stored(runs.merged().where(F.col("n_docs") >= min_docs).select("key", "n_docs", "last_doc"), "line-frequent")
+    if folder is None:
+        runs.levels.close()
+    dropped = free_name("__gone", docs)
+    gone = stored(dropped_lines(keys.select("doc_id", "key"), frequent).groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_set("key").alias(dropped)), "line-gone")
+    drop_stored(frequent)
+    drop_folder(spark, path)
     taken = {"n_lines", "n_dropped"}
-    source = docs.select([c for c in docs.columns if c not in taken]).withColumnRenamed(text_col, "__text")
+    source = docs.select([c for c in docs.columns if c not in taken])
+    keep = [c for c in source.columns if c != text_col]
     # a merge join at every size: the plan of a small table is the plan of a large one
-    source = source.join(gone.hint("merge"), id_col, "left")
+    source = source.join(gone.hint("merge"), id_col, "left").select(*keep, text_col, dropped)
 
     def run(cols):
         texts, gones = cols
@@ -112,8 +135,6 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
                 kept.append(text)
         return [kept, n_lines, n_dropped]
 
-    keep = [c for c in source.columns if c not in ("__text", "__gone")]
-    source = source.select(*keep, "__text", "__gone")
     return map_rows(source, run, f"`{text_col}` string, n_lines long, n_dropped long", keep=keep)
 
 

@@ -187,12 +187,51 @@ def test_lines_against_sql(spark, odd, none, clashing):
     assert out.where("doc_id IS NULL").first()["text"] == "no id here"
 
 
-def test_line_runs_compact(spark):
-    runs = lines.LineRuns(fanout=2)
+def test_lines_of_repeated_ids_and_clashing_columns(spark):
+    """A document counts once for a line, whatever the number of its rows."""
+    line = "a line of twenty characters at least"
+    docs = spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string")
+    assert {r["n_dropped"] for r in lines.query(docs).collect()} == {0}
+    more = docs.union(spark.createDataFrame([(3, line), (3, line)], docs.schema))
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in lines.query(more).collect()) == [(1, 1), (1, 1), (2, 1), (3, 0), (3, 0)]
+    odd = docs.selectExpr("*", "'mine' AS __text", "'mine' AS __gone", "'mine' AS key")
+    assert {r["__gone"] for r in lines.line_dedup(odd).collect()} == {"mine"}
+
+
+def test_a_hot_line_is_dropped_without_a_join_on_it(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_ROWS", 3)
+    monkeypatch.setattr(lines, "HOT_SHARE", 10**9)
+    texts = [(k, f"a line that all documents have\nand this one has {k // 3} three of them") for k in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows_of(lines.query(docs)) == oracle(lines.ORACLE, documents=docs)
+
+
+def test_line_runs_compact_and_open_again(spark):
+    runs = lines.LineRuns(spark, fanout=2)
     for b in range(5):
-        runs.add(spark.createDataFrame([(b * 10 + k, bytes([k])) for k in range(4)], "doc_id long, key binary"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {(bytes(r["key"])[0], r["n_docs"], r["last_doc"]) for r in runs.merged().collect()} == {(k, 5, 40 + k) for k in range(4)}
+        keys = spark.createDataFrame([(b * 10 + k, bytes([k])) for k in range(4)] + [(b, bytes([50 + b]))], "doc_id long, key binary")
+        assert {bytes(r["key"])[0] for r in lines.new_lines(runs, keys).collect()} == ({50 + b} if b else {0, 1, 2, 3, 50})
+        runs.add(keys)
+        runs = lines.LineRuns(spark, runs.levels.folder, fanout=2)
+    assert sorted(level for level, _ in runs.levels.runs) == [0, 2]
+    plan = runs.levels.tables()[0].hint("merge").join(runs.levels.tables()[1], "key")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert sum(r["new"] for t in runs.levels.tables() for r in t.collect()) == 9
+    spark.sql(f"DROP TABLE {runs.levels.runs[0][1]}")  # another session does not know the table
+    runs = lines.LineRuns(spark, runs.levels.folder)
+    expected = {(k, 5, 40 + k) for k in range(4)} | {(50 + b, 1, b) for b in range(5)}
+    assert {(bytes(r["key"])[0], r["n_docs"], r["last_doc"]) for r in runs.merged().collect()} == expected and len(runs.levels.runs) == 1
+    runs.levels.close()
+
+
+def test_lines_batch_by_batch_equal_one_call(spark, odd):
+    from factloom.llm.arrow_rows import shared_folder
+
+    docs, folder = odd.where("doc_id IS NOT NULL"), shared_folder(spark, "line-family")
+    whole = {r["doc_id"]: tuple(r) for r in lines.line_dedup(docs.select("doc_id", "text")).collect()}
+    lines.line_dedup(docs.where("doc_id % 2 = 0"), folder=folder).count()
+    second = docs.where("doc_id % 2 = 1").select("doc_id", "text")
+    assert {r["doc_id"]: tuple(r) for r in lines.line_dedup(second, folder=folder).collect()} == {k: v for k, v in whole.items() if k % 2}
 
 
 @pytest.fixture(scope="module")
