@@ -29,16 +29,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_rows(df: DataFrame, fn: Callable[[list[list]], list], schema: str, keep: list[str] | None = None, arrow: bool = False) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[list[list]], list], schema: str, keep: list[str] | None = None, arrow: bool = False, read: list[str] | None = None) -> DataFrame:
     """Run fn(list of column lists) -> list of columns (lists or Arrow arrays) over each Arrow batch of df.
 
-    schema: fn's columns, one row out for each row in. keep: columns of df that go before them as they are (these
-    are not given to fn). arrow: fn gets Arrow arrays instead of lists. Batches are handed over in slices of about
+    schema: fn's columns, one row out for each row in. keep: columns of df that go before them as they are. read: the
+    columns that fn gets (if not given, those that are not kept). arrow: fn gets Arrow arrays instead of lists. Batches are handed over in slices of about
     SLICE_BYTES, so that long texts do not multiply in the worker's memory.
     """
     bound_batches(df.sparkSession)
     keep = keep or []
-    names = [n for n in df.columns if n not in keep]
+    names = read or [n for n in df.columns if n not in keep]
     made = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,24 +5,23 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 words into numbers of the item vocabulary, hashes only windows whose words all stand in that vocabulary, looks the
 hashes up, and verifies every hit word by word.
 
-Only a block of items of bounded size is broadcast; where the items exceed it, the documents are scanned once a
-block and the hits are united. Null texts have no words; items without words match nothing; repeated item rows
-count by their distinct ids. Rows that share a doc_id are answered separately where there is one block, and as one
-document where there are more.
+Only a block of items of bounded size is broadcast. Where the items exceed it, the rows pass one block after another
+and carry what has been found so far with them, so that the number of blocks changes no result: each row is answered
+by itself, null ids and repeated ids included, and words are removed after all blocks have been looked for in the text
+as it came. Null texts have no words; items without words match nothing; repeated item rows count by their distinct ids.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow_rows import ASCII_LOWER, id_text, map_rows, slices
+from factloom.llm.arrow_rows import ASCII_LOWER, drop_stored, free_name, id_text, map_rows, stored
 
 #: Text bytes of the items that one broadcast holds.
 BLOCK_BYTES = 16 << 20
@@ -97,29 +96,40 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
         yield [(r[0], r[1]) for r in block.toLocalIterator()]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words long, hits array<int> (indices of hit words), items array<string> (sorted)."""
-    spark = docs.sparkSession
-    source = id_text(docs, id_col, text_col)
+def marked(docs: DataFrame, benchmark: DataFrame, size: int, text_col: str, found: str, block_bytes: int, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs, and `found`: struct of n_words, hits (indices of hit words) and items (sorted), over all blocks of items.
 
-    def scan(block):
+    One block is one narrow pass; before each further one the rows found so far are written, so no task holds two blocks.
+    """
+    spark, kind = docs.sparkSession, "struct<n_words:long,hits:array<int>,items:array<string>>"
+    blocks = item_blocks(benchmark, text_col="text", block_bytes=block_bytes)
+    out, block, before = docs, next(blocks), None
+    while block is not None:
+        then, more = next(blocks, None), found in out.columns
         shared = spark.sparkContext.broadcast(Windows(block, size))
 
-        def run(cols):
+        def run(cols, shared=shared):
             n, hits, items = shared.value.scan(cols[0])
-            return [n, hits, items]
-
-        return map_rows(source, run, "n_words long, hits array<int>, items array<string>", keep=["doc_id"])
-
-    scans = [scan(block) for block in item_blocks(benchmark, text_col="text", block_bytes=block_bytes)]
-    if len(scans) == 1:
-        return scans[0]
-    united = reduce(DataFrame.unionByName, scans).groupBy("doc_id")
-    return united.agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+            earlier = cols[1] if len(cols) > 1 else [None] * len(n)
+            rows = zip(n, hits, items, earlier, strict=True)
+            return [[{"n_words": k, "hits": sorted({*h.tolist(), *(e["hits"] if e else ())}), "items": sorted({*i, *(e["items"] if e else ())})} for k, h, i, e in rows]]
+
+        source, seen = out, free_name("__seen", docs)
+        if more:
+            source = out.withColumnRenamed(found, seen)
+        out = map_rows(source, run, f"`{found}` {kind}", keep=keep if then is None else docs.columns, read=[text_col, seen] if more else [text_col])
+        if then is not None:
+            out = stored(out, "decontaminate")
+            if before is not None:
+                drop_stored(before)
+            before = out
+        block = then
+    return out
+
+
+def find(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words long, hits array<int> (indices of hit words), items array<string> (sorted), for each row."""
+    return marked(id_text(docs, id_col, text_col), benchmark, size, "text", "__found", block_bytes, ["doc_id"]).select("doc_id", "__found.*")
 
 
 def without_words(text: str, hits: set[int]) -> str:
@@ -134,30 +144,20 @@ def without_words(text: str, hits: set[int]) -> str:
     return b"".join([*kept, raw[done:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without contaminated documents, or, with remove="spans", without the hit words; in one narrow pass.
-
-    Beyond one block of items the documents pass one block after another, which removes the same documents; spans
-    are then looked for in what the blocks before have left.
-    """
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove: str = "documents", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated documents, or, with remove="spans", without the words that any item's window hits; in one narrow pass where there is one block of items."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be documents or spans")
-    out, spark = docs, docs.sparkSession
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Windows(block, size))
+    found = free_name("__found", docs)
+    out = marked(docs, benchmark, size, text_col, found, block_bytes, docs.columns)
+    if remove == "documents":
+        return out.where(F.size(f"{found}.hits") == 0).select(docs.columns)
 
-        def run(batches, shared=shared):
-            for part in slices(batches):
-                texts = part.column(text_col).to_pylist()
-                _, hits, _ = shared.value.scan(texts)
-                if remove == "documents":
-                    yield part.filter(pa.array([not len(h) for h in hits]))
-                else:
-                    new = [without_words(t, set(h.tolist())) if len(h) else t for t, h in zip(texts, hits, strict=True)]
-                    yield part.set_column(part.schema.get_field_index(text_col), part.schema.field(text_col), pa.array(new, part.schema.field(text_col).type))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    def run(cols):
+        return [[without_words(t, set(f["hits"])) if f["hits"] else t for t, f in zip(*cols, strict=True)]]
+
+    keep = [c for c in docs.columns if c != text_col]
+    return map_rows(out.select(*keep, text_col, found), run, f"`{text_col}` string", keep=keep).select(docs.columns)
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

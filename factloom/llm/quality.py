@@ -8,7 +8,8 @@ violators.
 
 A text's score depends on the text alone. Null texts count as empty; an empty text has a score like any other.
 Labels that are null are ignored; of several labels for one doc_id the largest counts. Without labelled rows every
-score is 0.5. Rows that share a doc_id are scored one by one.
+score is 0.5. Rows that share a doc_id are scored one by one. A null doc_id counts as the empty text where folds are
+dealt: such a row is held out (crc32 of nothing is 0), and has no label.
 """
 
 from __future__ import annotations
@@ -102,12 +103,16 @@ def isotonic(at: np.ndarray, total: np.ndarray, ones: np.ndarray) -> tuple[np.nd
     return np.array([p[2] / p[0] for p in pools]), np.array([(p[1] + 0.01) / (p[0] + 0.02) for p in pools])
 
 
+def fold_of(id_col: str, folds: int):
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, calibrate: int = 4,
         cosines: int = 160, width: float = 4.0, ridge: float = 1e-3, seed: int = 7, bins: int = 2000, parts: int = 32) -> Model:
     """Fit on labelled rows of stats (doc_id, x) by crc32(doc_id as text) mod folds: fold held_out is never used,
     fold calibrate calibrates, the others go into the normal equations. All labelled rows count."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("y"))
-    rows = stats.join(known, "doc_id").withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)))
+    rows = stats.join(known, "doc_id").withColumn("fold", fold_of("doc_id", folds))
     rows = stored(rows.where(F.col("fold") != held_out).select("doc_id", "x", "y", "fold"), "quality-labelled")
     train = rows.where(F.col("fold") != calibrate)
     n = len(STATISTICS)
@@ -169,8 +174,11 @@ def scores(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs whose score reaches threshold, all their columns as they are; the texts are not shuffled."""
-    model = fit(with_statistics(docs.select("doc_id", text_col), text_col=text_col), labels)
+    """docs whose score reaches threshold, all their columns as they are. Statistics of labelled texts only are made to
+    fit (these meet their labels by a merge join at every size), and of all texts once, to score."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id").distinct()
+    some = docs.select("doc_id", text_col).where("doc_id IS NOT NULL").join(known.hint("merge"), "doc_id", "left_semi")
+    model = fit(with_statistics(some, text_col=text_col), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -186,7 +194,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = scores(stats, fit(stats, labels.select("doc_id", "quality")))
     return scored.select(
         "doc_id",
-        (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out"),
+        (fold_of("doc_id", 5) == 0).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )

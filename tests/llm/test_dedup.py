@@ -243,18 +243,32 @@ def benchmark(spark, odd_texts):
 
 @pytest.mark.parametrize("block", [16 << 20, 40])
 def test_decontamination_against_sql(odd, none, benchmark, block, monkeypatch):
-    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", ("item_id", "text", block))
     monkeypatch.setattr(decontaminate.find, "__defaults__", (10, "doc_id", "text", block))
     docs, items = odd.where("doc_id IS NOT NULL"), benchmark.where("item_id IS NOT NULL")
     expected = oracle(decontaminate.ORACLE, documents=docs.select("doc_id", "text"), benchmark=items)
     got = rows_of(decontaminate.query(docs, benchmark))
     assert got == expected
     hit = {r["doc_id"] for r in decontaminate.query(docs, benchmark).collect() if r["contaminated"]}
-    kept = {r["doc_id"] for r in decontaminate.decontaminate(docs, benchmark).collect()}
-    assert hit and kept == {r["doc_id"] for r in docs.collect()} - hit
+    kept = decontaminate.decontaminate(docs, benchmark, block_bytes=block)
+    assert hit and kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - hit
     assert decontaminate.query(none, benchmark).count() == 0 and not decontaminate.query(docs, items.limit(0)).where("contaminated").count()
 
 
+@pytest.mark.parametrize("block", [16 << 20, 100])
+def test_rows_are_answered_by_themselves_at_any_number_of_blocks(spark, block):
+    w = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(w[:15])), (1, "clean"), (None, " ".join(w[20:35])), (None, None), (2, "x " + " ".join(w[:15]) + " y"), (1, " ".join(w[:15]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'mine' AS __found", "'mine' AS __text")
+    items = [(k, " ".join(w[k : k + 12])) for k in range(28)] + [(99, "x y"), (100, "x")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find(docs, items, block_bytes=block).collect()
+    assert sorted((r["doc_id"] or 0, len(r["hits"]), len(r["items"])) for r in found) == [(0, 0, 0), (0, 15, 8), (1, 0, 0), (1, 15, 6), (1, 15, 6), (2, 16, 7)]
+    # words are looked for in the text as it came: "x y" is no window of it
+    cut = decontaminate.decontaminate(docs, items, remove="spans", block_bytes=block)
+    assert sorted((r["text"] or "").strip() for r in cut.collect()) == ["", "", "", "", "clean", "y"] and {r["__found"] for r in cut.collect()} == {"mine"}
+    assert sorted(r["text"] or "" for r in decontaminate.decontaminate(docs, items, block_bytes=block).collect()) == ["", "clean"]
+
+
 def test_spans_are_removed(spark):
     words = [f"w{k}" for k in range(30)]
     docs = spark.createDataFrame([(1, "Before, " + " ".join(words) + ". After"), (2, "clean text")], "doc_id long, text string")

@@ -86,6 +86,14 @@ def test_quality_without_labels_and_on_odd_rows(spark, odd, none, clashing):
     assert quality.query(clashing, labels).count() == odd.count()
     kept = quality.keep_good(clashing, labels)
     assert kept.columns == clashing.columns and kept.count() <= odd.count()
+    # rows without an id, and repeated ones, are scored each by itself
+    twice = odd.unionByName(odd)
+    rows = quality.query(twice, labels).collect()
+    assert len(rows) == 2 * odd.count() and all(r["held_out"] for r in rows if r["doc_id"] is None)
+    by_id = {}
+    for r in rows:
+        assert by_id.setdefault(r["doc_id"], r["score"]) == r["score"]
+    assert quality.keep_good(twice, labels).where("doc_id IS NULL").count() in (0, 2)
 
 
 def test_isotonic_rises():
