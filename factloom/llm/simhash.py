@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow_rows import ASCII_LOWER, id_text, map_rows, stored, whole
+from factloom.llm.arrow_rows import ASCII_LOWER, bound_batches, drop_stored, id_text, map_rows, stored, whole
 from factloom.llm.components import components
 
 SEED = 42
@@ -284,114 +283,181 @@ def near_links(distinct: DataFrame, tries: Tries, total: int) -> DataFrame:
     return todo.repartition("node").mapInArrow(run, "a long, b long")
 
 
-#: Least similarity of shingle sets at which fingerprints of several words are near duplicates, and of how many
-#: MinHash values how many bands consist: a pair of similarity 0.8 misses all bands with a probability of 0.0002.
-LEAST, BAND, BANDS = 0.8, 4, 16
+#: Of how many MinHash values how many bands consist: a pair of similarity 0.8 misses all bands with a probability of 0.0002.
+BAND, BANDS = 4, 16
+#: Rows, and shingles, of a group that one task compares; larger groups are dealt out. Rows to which each part of a large group is compared first.
+CELL_ROWS, CELL_SHINGLES, LEADERS = 4096, 4 << 20, 32
 
 
-def sketches(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """doc_id, fp (of distinct shingles), whole (a hash of the set of shingles), bands array<long>."""
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, fp (of distinct shingles), whole (a hash of the set of shingles), n (how many), bands array<long>."""
     rng = np.random.default_rng(SEED)
     odd, plus = (rng.integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
     def run(cols):
-        out = [[], [], []]
+        out = [[], [], [], []]
         for text in cols[0]:
             h = np.unique(shingle_hashes(text, size))
-            out[0].append(sketch(h, words))
+            out[0].append(sketch(h, 1))
             out[1].append(xxhash.xxh3_128_digest(h.tobytes()))
+            out[2].append(len(h))
             if len(h):
                 least = np.full(BAND * BANDS, np.uint64(0xFFFFFFFFFFFFFFFF))
                 for k in range(BAND * BANDS):
                     mixed = (h ^ plus[k]) * odd[k]
                     mixed ^= mixed >> np.uint64(32)
                     least[k] = (mixed * odd[k]).min()
-                out[2].append([xxhash.xxh64_intdigest(bytes([k]) + least[k * BAND : (k + 1) * BAND].tobytes()) - (1 << 63) for k in range(BANDS)])
+                out[3].append([xxhash.xxh64_intdigest(bytes([k]) + least[k * BAND : (k + 1) * BAND].tobytes()) - (1 << 63) for k in range(BANDS)])
             else:
-                out[2].append([])
+                out[3].append([])
         return out
 
-    return map_rows(id_text(docs), run, "fp array<long>, whole binary, bands array<long>", keep=["doc_id"])
+    return map_rows(id_text(docs), run, "fp array<long>, whole binary, n int, bands array<long>", keep=["doc_id"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """a, b: those of the pairs whose sets of shingles have at least this similarity, exactly."""
-    pairs = stored(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    some = sets.join(ids, "rep", "left_semi")
-    own = lambda side: some.select(F.col("rep").alias(side), F.col("shingles").alias(f"{side}_set"))
-    met = pairs.join(own("a"), "a").join(own("b"), "b")
-    both, total = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
-    return met.where((both >= least * (total - both)) | (total == 0)).select("a", "b")
+def set_links(sets: list[np.ndarray], asks: np.ndarray, least: float) -> np.ndarray:
+    """The smallest position that each set is linked to by similarities of at least `least`, exactly.
+
+    The set whose elements are the most frequent is compared with all others, then each that asks and is not of its
+    class with all that are not of its own: in a group of near copies that is soon done.
+    """
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    root = np.arange(len(sets))
+    none = np.flatnonzero(sizes == 0)
+    if len(none):
+        root[none] = none[0]
+    some = np.flatnonzero(sizes)
+    if len(some) < 2:
+        return root
+    _, flat, frequency = np.unique(np.concatenate([sets[k] for k in some]), return_inverse=True, return_counts=True)
+    begins = np.cumsum(sizes[some]) - sizes[some]
+    central = int(np.argmax(np.add.reduceat(frequency[flat], begins) / sizes[some]))
+    mark = np.zeros(len(frequency), dtype=bool)
+    for k in [central, *range(len(some))]:
+        own = some[k]
+        if k != central and (not asks[own] or root[own] == root[some[central]]):
+            continue
+        if (root[some] == root[own]).all():
+            break
+        elements = flat[begins[k] : begins[k] + sizes[own]]
+        mark[elements] = True
+        both = np.add.reduceat(mark[flat], begins, dtype=np.int64)
+        mark[elements] = False
+        near = some[both >= least * (sizes[own] + sizes[some] - both)]
+        classes = np.unique(root[near])
+        root[np.isin(root, classes)] = classes[0]
+    return root
 
 
-def verified_links(distinct: DataFrame, texts: DataFrame, size: int, tries: Tries, total: int, least: float) -> DataFrame:
-    """a, b: links between the rows of distinct (rep, fp, bands) that connect all candidates of at least this similarity.
+def cell_links(rows: DataFrame, least: float) -> DataFrame:
+    """a, b: links within each cell of rows (cell, rep, asks, shingles); a task has one cell at a time in memory."""
 
-    Candidates are the forest of near fingerprints and all pairs with a band in common. Bands are gone through by
-    distance of place, further each round; in a band only those are compared that are not connected yet, so a group
-    of near copies is connected by about as many comparisons as it has members. Sets are made of candidates only.
+    def links(parts):
+        table = pa.Table.from_batches(parts)
+        rep, first = np.unique(table.column("rep").to_numpy(), return_index=True)
+        sets, asks = table.column("shingles").combine_chunks(), table.column("asks").to_numpy()
+        root = set_links([sets[int(k)].values.to_numpy() for k in first], asks[first], least)
+        moved = np.flatnonzero(root != np.arange(len(rep)))
+        return pa.RecordBatch.from_arrays([pa.array(rep[root[moved]]), pa.array(rep[moved])], names=["a", "b"])
+
+    def run(batches):
+        parts, cell = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if parts and cells[at] != cell:
+                    yield links(parts)
+                    parts = []
+                cell = cells[at]
+                parts.append(batch.slice(at, end - at))
+        if parts:
+            yield links(parts)
+
+    bound_batches(rows.sparkSession)
+    ordered = rows.select("cell", "rep", "asks", "shingles").repartition("cell").sortWithinPartitions("cell", F.desc("asks"))
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def verified_links(distinct: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """a, b: links between the rows of distinct (rep, fp, n, bands) that connect all candidates of at least this similarity.
+
+    Of rows that share an id one text is compared. Candidates are the members of a group: of a component of the trie join, or of a MinHash band; groups of equal
+    members count once. The members' sets go to the group's cell, where similarities are counted exactly. A group
+    beyond a cell's bounds is cut into parts: each part meets the same few leaders and itself, and in a second pass
+    the rows that are not of the class of most meet all parts, a pack of them at a time.
     """
-    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    first = stored(near_links(distinct.select("fp", "rep"), tries, total).select(*ends).distinct(), "near-first")
-    row = W.partitionBy("band").orderBy("rep")
-    places = distinct.select("rep", F.explode("bands").alias("band")).withColumn("place", F.row_number().over(row))
-    places = stored(places.withColumn("n", F.count("*").over(W.partitionBy("band"))).where("n > 1"), "near-bands")
-    ids = places.select("rep").union(first.select("a")).union(first.select("b")).distinct().withColumnRenamed("rep", "doc_id")
+    trie = components(near_links(distinct.select("fp", "rep"), Tries(1, 64, 2, 4), 2))
+    trie = trie.select("root", F.col("node").alias("rep")).union(trie.select("root", F.col("root").alias("rep")).distinct())
+    rows = distinct.select(F.explode("bands").alias("grp"), "rep").unionByName(trie.select(F.xxhash64(F.lit("trie"), "root").alias("grp"), "rep"))
+    rows = stored(rows.join(distinct.select("rep", F.col("n").alias("shingled")).hint("merge"), "rep"), "near-groups")
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"), F.sum(F.col("shingled").cast("long")).alias("m"))
+    sizes = sizes.where("n > 1").groupBy("n", "sign", "m").agg(F.min("grp").alias("grp"))
+    parts = F.ceil(F.greatest(F.col("n") / CELL_ROWS, F.col("m") / CELL_SHINGLES)).cast("int")
+    members = stored(rows.join(sizes.select("grp", "n", parts.alias("parts")).hint("merge"), "grp").select("grp", "rep", "n", "parts"), "near-members")
+    ids = members.select(F.col("rep").alias("doc_id")).distinct()
     some = texts.join(ids.hint("merge"), "doc_id", "left_semi")
     sets = map_rows(id_text(some), lambda cols: [[np.unique(shingle_hashes(t, size)).view(np.int64) for t in cols[0]]], "shingles array<long>", keep=["doc_id"])
-    sets = stored(sets.withColumnRenamed("doc_id", "rep"), "shingle-sets")
-    links = stored(similar(first, sets, least), "near-verified")
-    low, high = 1, 2
-    while True:
-        classes = components(links)
-        classed = places.join(classes.hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", "band", "place", "n", F.coalesce("root", "rep").alias("class"))
-        spread = classed.groupBy("band", "class").agg(F.count("*").alias("m")).groupBy("band").agg(F.count("*").alias("classes"), F.max_by("class", F.struct("m", "class")).alias("main"))
-        open_ = stored(classed.join(spread.where("classes > 1").hint("merge"), "band"), "near-open")
-        most = open_.agg(F.max("n")).first()[0]
-        if most is None or low >= most:
-            return links
-        # of two places of different classes at least one is not of the band's main class: that one asks, both ways
-        asks = open_.where("class <> main")
-        way = lambda sign: F.sequence(F.col("place") + sign * low, F.col("place") + sign * (high - 1))
-        asked = asks.select(F.col("rep").alias("a"), F.col("class").alias("own"), "band", F.explode(F.filter(F.concat(way(1), way(-1)), lambda p: (p >= 1) & (p <= F.col("n")))).alias("place"))
-        met = asked.join(open_.select(F.col("rep").alias("b"), F.col("class").alias("other"), "band", "place").hint("merge"), ["band", "place"]).where("own <> other")
-        links = stored(links.unionByName(similar(met.select(*ends).distinct(), sets, least)), "near-verified")
-        low, high = high, high * 8
-
-
-def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, bits: int = 64, budget: int = 2, blocks: int = 4, total: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp array<long>, component_id: the smallest doc_id reachable over links.
-
-    With words=1, bits=64 and budget=total, fingerprints link at `total` or fewer differing bits, exactly; shuffled
-    are ids and fingerprints, never texts. With more words, fingerprints are of distinct shingles, each part of `bits`
-    bits is a trie of its own, and pairs that one of them brings up are candidates if all words together differ in at
-    most total bits; so are pairs with a MinHash band in common. Candidates link if their sets of shingles have a
-    similarity of LEAST or more, counted exactly; shuffled are candidates' texts and sets of shingle hashes too. doc_id is a whole number.
+    # rows that share an id share its class: one of their texts stands for them
+    sets = stored(sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    with_sets = lambda cells: cells.join(sets.hint("merge"), "rep")
+    part, every = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    leads = F.pmod(F.xxhash64("rep", "grp"), F.col("n")) < LEADERS
+    large = members.where("parts > 1")
+    cells = members.select("grp", "rep", part.alias("part")).unionByName(large.where(leads).select("grp", "rep", every.alias("part")))
+    links = stored(cell_links(with_sets(cells.select(F.xxhash64("grp", "part").alias("cell"), "rep", F.lit(True).alias("asks"))), least), "near-links")
+    if not large.isEmpty():
+        classed = large.join(components(links).hint("merge"), F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("root", "rep"))
+        most = classed.groupBy("grp", "class").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("top"))
+        packs = F.ceil((F.col("all") - F.col("top")) / CELL_ROWS).cast("int")
+        classed = classed.join(most.select("grp", "main", packs.alias("packs")).hint("merge"), "grp").where("packs > 0")
+        asking = classed.where("class <> main").select("grp", "rep", F.pmod(F.xxhash64("rep"), F.col("packs")).cast("int").alias("pack"), every.alias("part"), F.lit(True).alias("asks"))
+        asked = classed.select("grp", "rep", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("pack"), part.alias("part"), F.lit(False).alias("asks"))
+        more = asking.unionByName(asked).select(F.xxhash64("grp", "pack", "part").alias("cell"), "rep", "asks")
+        links = links.unionByName(stored(cell_links(with_sets(more), least), "near-links"))
+    for table in (rows, members, sets):
+        drop_stored(table)
+    return links
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp array<long>, component_id: the smallest doc_id reachable over links of `budget` or fewer differing bits, exactly.
+
+    Shuffled are ids and fingerprints, never texts. doc_id is a whole number.
     """
-    if words > 1:
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        marked = stored(sketches(texts, size, words), "sketches")
-        distinct = stored(marked.where("doc_id IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("rep")), "sets-distinct")
-        first = distinct.withColumn("doc_id", F.col("rep")).hint("merge")
-        own = marked.join(first, ["whole", "doc_id"]).dropDuplicates(["whole", "doc_id"]).select("rep", "fp", "bands")
-        roots = components(verified_links(stored(own, "sketches-distinct"), texts, size, Tries(words, bits, budget, blocks), total, LEAST))
-        classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("whole", F.coalesce("root", "rep").alias("component_id"))
-        return marked.select("doc_id", "fp", "whole").join(stored(classes, "set-classes"), "whole", "left").select("doc_id", "fp", "component_id")
-    marked = stored(fingerprints(docs, size, words, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
+    marked = stored(fingerprints(docs, size, 1, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
     distinct = stored(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints-distinct")
-    roots = components(near_links(distinct, Tries(words, bits, budget, blocks), total))
+    roots = components(near_links(distinct, Tries(1, 64, budget, blocks), budget))
     classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return marked.join(stored(classes, "fingerprint-classes"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, words: int = 4, bits: int = 32, budget: int = 3, blocks: int = 4, total: int = 46, text_col: str = "text") -> DataFrame:
-    """docs without those that a smaller doc_id stands for; all columns as they are.
+def similar_documents(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: the smallest doc_id reachable over pairs of documents whose sets of distinct shingles have a similarity of at least `least`, counted exactly.
 
-    Near duplicates share 0.8 of their distinct five-word shingles, counted exactly. Candidates come by 256 bits (at 0.8
-    sets of one size have a cosine of 0.89 and differ in 39 bits on average, unrelated ones in 128) and by bands.
+    Candidates come by the trie join of the sets' fingerprints and by MinHash bands; shuffled are ids, sketches, and
+    the candidates' texts and sets. Documents of equal sets are one. doc_id is a whole number; a null id has the class
+    of the documents of its set, if there are any.
     """
-    found = near_duplicates(docs.select("doc_id", text_col), size, words, bits, budget, blocks, total, text_col=text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = stored(sketches(texts, size), "sketches")
+    distinct = stored(marked.where("doc_id IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("rep")), "sets-distinct")
+    first = distinct.withColumn("doc_id", F.col("rep")).hint("merge")
+    own = marked.join(first, ["whole", "doc_id"]).groupBy("rep").agg(F.max_by(F.struct("fp", "n", "bands"), "whole").alias("own"))
+    own = stored(own.select("rep", "own.*"), "sketches-distinct")
+    roots = components(verified_links(own, texts, size, least))
+    classes = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("whole", F.coalesce("root", "rep").alias("component_id"))
+    out = stored(marked.select("doc_id", "whole").join(stored(classes, "set-classes"), "whole", "left").select("doc_id", "component_id"), "near-classes")
+    for table in (marked, own):
+        drop_stored(table)
+    return out
+
+
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8, text_col: str = "text") -> DataFrame:
+    """docs without those that a smaller doc_id stands for (similar_documents); all columns as they are."""
+    found = similar_documents(docs.select("doc_id", text_col), size, least, text_col=text_col)
     gone = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-gone")
     # a merge join at every size: the plan of a small table is the plan of a large one
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)

@@ -135,8 +135,11 @@ def test_near_copies_leave_one(spark):
     assert sorted(r["g"] for r in kept) == list(range(15)) and all(r["doc_id"] % 4 == 0 for r in kept)
 
 
-def test_near_copies_are_those_of_similar_shingle_sets(spark):
-    """Pairs on both sides of 0.8, and long texts of one repeated form that share little else."""
+@pytest.mark.parametrize("rows", [4096, 5])
+def test_near_copies_are_those_of_similar_shingle_sets(spark, rows, monkeypatch):
+    """Pairs on both sides of 0.8, a large group of copies of a copy, and long texts of one repeated form that share little else."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", rows)
+    monkeypatch.setattr(simhash, "LEADERS", min(rows, 32))
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     texts = []
@@ -146,6 +149,14 @@ def test_near_copies_are_those_of_similar_shingle_sets(spark):
         for at in rng.sample(range(4, 196, 6), 3 + g % 8):
             other[at] = word()
         texts += [" ".join(words), " ".join(other)]
+    first = len(texts)
+    hot = [[word() for _ in range(200)]]
+    for k in range(60):
+        other = list(hot[k // 4 if k % 2 else 0])
+        for at in rng.sample(range(4, 196, 6), rng.randint(1, 6)):
+            other[at] = word()
+        hot.append(other)
+    texts += [" ".join(w) for w in hot] + [texts[0]]
     form = [word() for _ in range(12)]
     texts += [" ".join([*(word() for _ in range(200)), *form * 60]) for _ in range(2)]
     sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
@@ -156,7 +167,7 @@ def test_near_copies_are_those_of_similar_shingle_sets(spark):
             if near(sets[a], sets[b]):
                 root = [root[a] if x == root[b] else x for x in root]
     kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {r["doc_id"] for r in kept.collect()} == set(root) and 60 < len(set(root)) < 122
+    assert {r["doc_id"] for r in kept.collect()} == set(root) and 60 < len(set(root)) < 182 and 1 < len(set(root[first : first + 61])) < 61
 
 
 def test_components_of_a_long_chain(spark):
