@@ -163,7 +163,8 @@ def validate(replies: DataFrame, chunk_table: DataFrame, types: DataFrame, rules
     """Entities, relations and rejection counts (kind, reason, n by chunk) of first replies, and of second ones where given.
 
     The second pass proposes relations only; they follow the first pass's, and are checked against its entities. A
-    chunk of fewer than two entities, or whose second reply is missing, keeps its first pass alone.
+    chunk of fewer than two entities, or whose second reply is missing or failed, keeps its first pass alone; second
+    replies may have an error column, whose values are counted as kind second_pass.
     """
     entities, relations = proposals(replies)
     checked = dedup_entities(check_entities(entities, chunk_table, types, min_confidence).where("reason IS NULL"))
@@ -171,14 +172,71 @@ def validate(replies: DataFrame, chunk_table: DataFrame, types: DataFrame, rules
     if second is not None:
         enough = kept.groupBy("chunk_id").count().where("count >= 2").select("chunk_id")
         more = proposals(second.join(enough, "chunk_id", "left_semi"))[1]
-        relations = relations.unionByName(more.withColumn("pos", F.col("pos") + 1_000_000))
+        after = relations.agg(F.coalesce(F.max("pos"), F.lit(0))).first()[0] + 1
+        relations = relations.unionByName(more.withColumn("pos", F.col("pos") + after))
     judged = check_relations(relations, kept, chunk_table, rules, min_confidence)
     lost = check_entities(entities, chunk_table, types, min_confidence).where("reason IS NOT NULL").select("chunk_id", F.lit("entity").alias("kind"), "reason")
     lost = lost.unionByName(checked.where("duplicate").select("chunk_id", F.lit("entity").alias("kind"), F.lit("duplicate").alias("reason")))
     lost = lost.unionByName(judged.where("reason IS NOT NULL").select("chunk_id", F.lit("relation").alias("kind"), "reason"))
+    if second is not None and "error" in second.columns:
+        failed = second.where("error IS NOT NULL").join(enough, "chunk_id", "left_semi")
+        lost = lost.unionByName(failed.select("chunk_id", F.lit("second_pass").alias("kind"), F.col("error").alias("reason")))
     return kept, dedup_relations(judged.where("reason IS NULL").drop("reason")), lost.groupBy("chunk_id", "kind", "reason").agg(F.count("*").alias("n"))
 
 
+def ontology_listing(types: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row, listing: the ontology's types, then its relations with their ends, a line each, in the order of names."""
+    kinds = types.agg(F.array_join(F.array_sort(F.collect_set("type")), ", ").alias("kinds")).withColumn("k", F.lit(1))
+    rule = F.concat(F.lit("- "), "kind", F.lit(": "), "source_type", F.lit(" > "), "target_type")
+    ruled = rules.agg(F.array_join(F.array_sort(F.collect_set(rule)), "\n").alias("ruled")).withColumn("k", F.lit(1))
+    return kinds.join(ruled, "k").select(F.concat_ws("\n", F.concat(F.lit("Types: "), "kinds"), F.lit("Relations:"), "ruled").alias("listing"))
+
+
+def entity_listing(mentions: DataFrame) -> DataFrame:
+    """chunk_id, listing: a line for each entity of a chunk (chunk_id, pos, name, type), in the order of pos."""
+    line = F.struct("pos", F.concat(F.lit("- "), "name", F.lit(" ("), "type", F.lit(")")).alias("line"))
+    lines = F.array_sort(F.collect_list(line))
+    return mentions.groupBy("chunk_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("listing"))
+
+
+#: What a model is asked for. {ontology}, {entities} and {text} are filled in.
+FIRST_PROMPT = "Find entities and relations of this ontology in the text. Answer with a JSON object of entities and relations.\n{ontology}\nText:\n{text}"
+SECOND_PROMPT = "Find further relations between these entities of the text. Answer with a JSON object of relations.\n{ontology}\nEntities:\n{entities}\nText:\n{text}"
+
+
+def prompts(chunk_table: DataFrame, types: DataFrame, rules: DataFrame, mentions: DataFrame | None = None, template: str | None = None) -> DataFrame:
+    """chunk_id, prompt: of the first pass, or, with the first pass's mentions, of the second one (chunks of two entities or more)."""
+    rows = chunk_table.select("chunk_id", "text")
+    if mentions is not None:
+        enough = mentions.groupBy("chunk_id").count().where("count >= 2").select("chunk_id")
+        rows = rows.join(enough, "chunk_id", "left_semi").join(entity_listing(mentions).withColumnRenamed("listing", "entities"), "chunk_id")
+    template = template or (FIRST_PROMPT if mentions is None else SECOND_PROMPT)
+    listing = ontology_listing(types, rules).first()["listing"]  # as long as the ontology
+    filled = F.replace(F.lit(template), F.lit("{ontology}"), F.lit(listing))
+    if mentions is not None:
+        filled = F.replace(filled, F.lit("{entities}"), F.col("entities"))
+    return rows.select("chunk_id", F.replace(filled, F.lit("{text}"), F.col("text")).alias("prompt"))
+
+
+def extractor_training(annotations: DataFrame, types: DataFrame, rules: DataFrame, template: str = FIRST_PROMPT) -> DataFrame:
+    """chunk_id, instruction, input, output: training records of annotations (chunk_id, text, reply_json), whose labels are validated like replies.
+
+    An annotation without a text raises; one whose labels all fall has empty lists. Labels do not name their chunk.
+    """
+    if not annotations.where("text IS NULL").isEmpty():
+        raise ValueError("an annotation has no text")
+    kept, relations, _ = validate(annotations.select("chunk_id", "reply_json"), annotations.select("chunk_id", "text"), types, rules)
+    listed = lambda rows, name, *columns: rows.groupBy("chunk_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("j")))), lambda x: x["j"]).alias(name)
+    )
+    entities = listed(kept, "entities", "name", "type", "aliases", "attributes", "confidence")
+    facts = listed(relations, "relations", "source", "target", "type", "confidence", "evidence")
+    rows = prompts(annotations, types, rules, template=template).join(entities, "chunk_id", "left").join(facts, "chunk_id", "left")
+    array = lambda c: F.concat(F.lit("["), F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", "), F.lit("]"))
+    output = F.concat(F.lit('{"entities": '), array("entities"), F.lit(', "relations": '), array("relations"), F.lit("}"))
+    return rows.select("chunk_id", F.col("prompt").alias("instruction"), F.lit("").alias("input"), output.alias("output"))
+
+
 def remaining(chunk_table: DataFrame, done: DataFrame) -> DataFrame:
     """Chunks that are not yet extracted; raises if done has chunks that are not in the table."""
     if not done.join(chunk_table, "chunk_id", "left_anti").isEmpty():

@@ -21,14 +21,14 @@ from factloom.sources.stages import stored
 ATTRIBUTES = "map<string,struct<value:string,confidence:double,chunk_id:string>>"
 
 
-def synonym_closure(synonyms: DataFrame, rounds: int = 32) -> DataFrame:
+def synonym_closure(synonyms: DataFrame) -> DataFrame:
     """key, canonical: each normalised alias with what its chain ends in; a chain that comes back ends at its first repeat.
 
-    The table of synonyms is a dictionary that users keep; each round follows all chains one step further.
+    The table of synonyms is a dictionary that users keep; each round follows all chains one step further, until none moves.
     """
     step = synonyms.groupBy(normalize_name(F.col("alias")).alias("key")).agg(F.max(normalize_name(F.col("canonical"))).alias("next"))
     chains = stored(step.select("key", F.col("next").alias("canonical"), F.array("key").alias("seen")), "synonyms")
-    for _ in range(rounds):
+    while True:
         moved = chains.join(step.withColumnRenamed("key", "canonical"), "canonical", "left")
         goes = F.col("next").isNotNull() & ~F.array_contains("seen", F.col("canonical"))
         moved = moved.select("key", F.when(goes, F.col("next")).otherwise(F.col("canonical")).alias("canonical"), F.when(goes, F.concat("seen", F.array("canonical"))).otherwise(F.col("seen")).alias("seen"), goes.alias("moved"))
@@ -218,6 +218,53 @@ def nodes_as_mentions(nodes: DataFrame) -> DataFrame:
     )
 
 
+def extend(
+    nodes: DataFrame, edges: DataFrame, mentions: DataFrame, relations: DataFrame, rules: DataFrame, synonyms: DataFrame | None = None, threshold: float = 0.9
+) -> tuple[DataFrame, DataFrame]:
+    """The graph of nodes and edges with more mentions and relations (pos from 0 on): what it has keeps its ids, what is new counts on.
+
+    Old nodes and edges come before all that is new: of equally sure attributes theirs stay, with their own confidences.
+    """
+    seeds = stored(nodes_as_mentions(nodes), "seeds")
+    both = stored(seeds.drop("id").unionByName(mentions.select([c for c in seeds.columns if c != "id"])), "mentions")
+    placed = stored(align(mentions.select(both.columns), None if synonyms is None else synonym_closure(synonyms), threshold, seeds.drop("id")), "placed")
+    known = seeds.select(F.col("pos").alias("node"), "id").join(nodes.select("id", F.col("attributes").alias("had"), F.col("chunks").alias("cited")), "id")
+    merged = merge_nodes(both.withColumn("attributes", F.when(F.col("pos") >= 0, F.col("attributes"))), placed)
+    old = merged.join(known, "node")
+    none = F.create_map().cast(ATTRIBUTES)
+    surer = F.map_zip_with(F.coalesce("had", none), "attributes", lambda k, a, b: F.when(b.isNull() | (a["confidence"] >= b["confidence"]), a).otherwise(b))
+    old = old.withColumn("attributes", surer).withColumn("chunks", F.array_union(F.coalesce("cited", F.array().cast("array<string>")), "chunks")).drop("had", "cited")
+    new = numbered(merged.where("node >= 0"), "node", "n", start=nodes.count())
+    all_nodes = stored(old.select(new.columns).unionByName(new), "nodes")
+    ids = all_nodes.select("node", F.col("id").alias("n"))
+    found = relation_edges(relations, both, placed, rules)
+    found = found.join(ids.select(F.col("node").alias("source"), F.col("n").alias("s")), "source").join(ids.select(F.col("node").alias("target"), F.col("n").alias("t")), "target")
+    found = found.select("pos", F.col("s").alias("source"), F.col("t").alias("target"), "type", "confidence", "evidence", "chunk_id", "derived_from_attribute")
+    had = edges.select("source", "target", "type", "confidence", "derived_from_attribute", F.posexplode_outer("evidence").alias("k", "e"))
+    had = had.select((F.coalesce("k", F.lit(0)) - 1_000_000_000_000).cast("long").alias("pos"), "source", "target", "type", "confidence", F.col("e.text").alias("evidence"), "e.chunk_id", "derived_from_attribute")
+    united = merge_edges(had.unionByName(found)).withColumn("evidence", F.filter("evidence", lambda e: e["text"].isNotNull() | e["chunk_id"].isNotNull()))
+    united = stored(united.join(edges.select("source", "target", "type", "id"), ["source", "target", "type"], "left"), "edges")
+    fresh = numbered(united.where("id IS NULL").drop("id"), "pos", "e", start=edges.count())
+    columns = ["id", "source", "target", "type", "confidence", "evidence", "derived_from_attribute"]
+    all_edges = united.where("id IS NOT NULL").select(columns).unionByName(fresh.select(columns))
+    return all_nodes.select("id", "name", "type", "aliases", "attributes", "confidence", "chunks"), all_edges
+
+
+def materialize_specifications(nodes: DataFrame, edges: DataFrame, chunk_table: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The graph with a specification node and edge for each attribute that its cited chunk supports, and how many edges that added."""
+    found = numbered(specifications(nodes, chunk_table).withColumn("__at", F.concat_ws("\u0001", "source", "target_name", "chunk_id")), "__at", "").drop("__at")
+    found = stored(found.withColumn("extraction", F.col("id").cast("long") - 1).drop("id"), "specifications")
+    owners = found.join(nodes.select(F.col("id").alias("source"), F.col("name").alias("owner"), F.col("type").alias("owner_type")), "source")
+    row = lambda place, name, kind: owners.select(
+        (F.col("extraction") * 2 + place).alias("pos"), "extraction", name.alias("name"), kind.alias("type"), F.array().cast("array<string>").alias("aliases"), F.create_map().cast("map<string,string>").alias("attributes"), "confidence", "chunk_id"
+    )
+    mentions = row(0, F.col("owner"), F.col("owner_type")).unionByName(row(1, F.col("target_name"), F.lit("Technical Specification")))
+    relations = owners.select(F.col("extraction").alias("pos"), "extraction", F.col("owner").alias("source"), F.col("target_name").alias("target"), F.lit("Weapon-Spec").alias("type"), "confidence", "evidence", "chunk_id", F.lit(True).alias("derived_from_attribute"))
+    # names count as they are here: what is only similar is another specification
+    all_nodes, all_edges = extend(nodes, edges, mentions, relations, rules, threshold=1.01)
+    return all_nodes, all_edges, all_edges.count() - edges.count()
+
+
 def specification_candidates(nodes: DataFrame) -> DataFrame:
     """node id, name, type, key, value, confidence, chunk_id of equipment's attributes that can become specifications."""
     each = nodes.where(F.col("type").isin(EQUIPMENT_TYPES)).select("id", "name", "type", F.explode("attributes").alias("key", "a"))

@@ -82,14 +82,14 @@ def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(KINDS
 
 #: The same as common table expressions: nodes, and edges as sql_edges() gives them.
 SQL = """
-ec AS (SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, round(max(1 - l_discount), 6) AS confidence FROM lineitem WHERE l_quantity >= 48 GROUP BY 1, 2),
-ue AS (SELECT 'C' || o_custkey AS source, 'P' || l_partkey AS target, round(max(1 - l_discount), 6) AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48 GROUP BY 1, 2),
-uo AS (SELECT 'C' || c_custkey AS source, 'N' || c_nationkey AS target, 0.9::DOUBLE AS confidence FROM customer),
-ws AS (SELECT 'P' || p_partkey AS source, 'B' || p_brand AS target, round(0.5::DOUBLE + p_size / 101::DOUBLE, 6) AS confidence FROM part),
-ex AS (SELECT * FROM (SELECT 'P' || p_partkey AS source, 'P' || lead(p_partkey) OVER (PARTITION BY p_type, p_size ORDER BY p_partkey) AS target, 0.7::DOUBLE AS confidence FROM part) WHERE target IS NOT NULL),
-cp AS (SELECT 'O' || o_orderkey AS source, 'C' || o_custkey AS target, 0.8::DOUBLE AS confidence FROM orders),
-cl AS (SELECT * FROM (SELECT 'O' || o_orderkey AS source, 'O' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS target, 0.6::DOUBLE AS confidence FROM orders) WHERE target IS NOT NULL),
-edges AS (
+ec AS MATERIALIZED (SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, round(max(1 - l_discount), 6) AS confidence FROM lineitem WHERE l_quantity >= 48 GROUP BY 1, 2),
+ue AS MATERIALIZED (SELECT 'C' || o_custkey AS source, 'P' || l_partkey AS target, round(max(1 - l_discount), 6) AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48 GROUP BY 1, 2),
+uo AS MATERIALIZED (SELECT 'C' || c_custkey AS source, 'N' || c_nationkey AS target, 0.9::DOUBLE AS confidence FROM customer),
+ws AS MATERIALIZED (SELECT 'P' || p_partkey AS source, 'B' || p_brand AS target, round(0.5::DOUBLE + p_size / 101::DOUBLE, 6) AS confidence FROM part),
+ex AS MATERIALIZED (SELECT * FROM (SELECT 'P' || p_partkey AS source, 'P' || lead(p_partkey) OVER (PARTITION BY p_type, p_size ORDER BY p_partkey) AS target, 0.7::DOUBLE AS confidence FROM part) WHERE target IS NOT NULL),
+cp AS MATERIALIZED (SELECT 'O' || o_orderkey AS source, 'C' || o_custkey AS target, 0.8::DOUBLE AS confidence FROM orders),
+cl AS MATERIALIZED (SELECT * FROM (SELECT 'O' || o_orderkey AS source, 'O' || lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS target, 0.6::DOUBLE AS confidence FROM orders) WHERE target IS NOT NULL),
+edges AS MATERIALIZED (
   SELECT 'EC:' || source || '>' || target AS id, source, target, 'Equip-Carry' AS type, confidence, 'Platform/Carrier' AS source_type, 'Weapon System' AS target_type FROM ec
   UNION ALL SELECT 'UE:' || source || '>' || target, source, target, 'Unit-Equip', confidence, 'Combat Unit', 'Weapon System' FROM ue
   UNION ALL SELECT 'UO:' || source || '>' || target, source, target, 'Unit-Org', confidence, 'Combat Unit', 'Command Structure' FROM uo

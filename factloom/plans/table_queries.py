@@ -195,9 +195,34 @@ def x11_rejections(spark, sf_dir):
 
 @query(f"WITH {_MENTIONS} SELECT chunk_id, md5(string_agg('- ' || name || ' (' || type || ')', chr(10) ORDER BY pos)) AS prompt FROM mentions GROUP BY chunk_id")
 def x13_entity_listing(spark, sf_dir):
-    line = F.struct("pos", F.concat(F.lit("- "), "name", F.lit(" ("), "type", F.lit(")")).alias("line"))
-    rows = mentions(spark, sf_dir).groupBy("chunk_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return rows.select("chunk_id", F.md5(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("prompt"))
+    return X.entity_listing(mentions(spark, sf_dir)).select("chunk_id", F.md5("listing").alias("prompt"))
+
+
+@query(f"""WITH {_MENTIONS}, judged AS (SELECT *, CASE WHEN pos % 7 = 0 THEN 'name_not_in_source' WHEN type = 'Vehicle' THEN 'unknown_type' WHEN confidence < 0.2 THEN 'low_confidence' END AS reason FROM mentions),
+fine AS (SELECT *, coalesce(max(confidence) OVER (PARTITION BY chunk_id, name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= confidence, false) AS duplicate FROM judged WHERE reason IS NULL),
+known AS (SELECT DISTINCT chunk_id, name, type FROM fine),
+said AS (SELECT a.chunk_id, a.name AS source, b.name AS target, ['Equip-Counter', 'Unit-Equip', 'Equip-Carry'][(a.pos % 3)::INT + 1] AS type FROM mentions a JOIN mentions b ON b.chunk_id = a.chunk_id AND b.pos = a.pos + 1),
+told AS (SELECT s.*, CASE WHEN p.name IS NULL OR q.name IS NULL THEN 'unknown_endpoint' WHEN NOT contains(lower(regexp_replace(text, '\s+', '', 'g')), lower(s.source || s.target)) THEN 'evidence_not_in_source'
+    WHEN NOT ((s.type = 'Equip-Counter' AND p.type = 'Weapon System' AND q.type = 'Weapon System') OR (s.type = 'Unit-Equip' AND p.type = 'Combat Unit' AND q.type IN ('Weapon System', 'Platform/Carrier'))
+      OR (s.type = 'Equip-Carry' AND p.type = 'Platform/Carrier' AND q.type = 'Weapon System')) THEN 'invalid_type_or_direction'
+    WHEN s.type = 'Equip-Counter' AND NOT regexp_matches(lower(s.source || ' ' || s.target), 'counter|defeat|destroy|intercept') THEN 'no_counter_statement' END AS reason
+  FROM said s JOIN documents ON doc_id = s.chunk_id LEFT JOIN known p ON p.chunk_id = s.chunk_id AND p.name = s.source LEFT JOIN known q ON q.chunk_id = s.chunk_id AND q.name = s.target)
+SELECT 'entity' AS kind, reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY 2 UNION ALL SELECT 'entity', 'duplicate', count(*) FROM fine WHERE duplicate HAVING count(*) > 0
+UNION ALL SELECT 'entity', 'kept', count(*) FROM known UNION ALL SELECT 'relation', reason, count(*) FROM told WHERE reason IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'relation', 'kept', count(*) FROM (SELECT DISTINCT chunk_id, source, target, type FROM told WHERE reason IS NULL)""")
+def x1_validation(spark, sf_dir):
+    """Replies that propose each document's capitalised words as entities, some of them misspelt, and neighbours as relations, checked against the text."""
+    m = mentions(spark, sf_dir)
+    entity = F.struct("pos", F.struct(F.when(F.col("pos") % 7 == 0, F.concat("name", F.lit("zzqx"))).otherwise(F.col("name")).alias("name"), "type", "confidence").alias("x"))
+    kind = F.element_at(F.array(*map(F.lit, ("Equip-Counter", "Unit-Equip", "Equip-Carry"))), (F.col("pos") % 3 + 1).cast("int"))
+    relation = F.struct("pos", F.struct("source", "target", kind.alias("type"), "evidence").alias("x"))
+    ordered = lambda rows, item, name: rows.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["x"]).alias(name))
+    replies = ordered(m, entity, "entities").join(ordered(neighbours(spark, sf_dir), relation, "relations"), "chunk_id", "left")
+    replies = replies.select("chunk_id", F.to_json(F.struct("entities", "relations")).alias("reply_json"))
+    chunk_table = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    kept, relations, lost = X.validate(replies, chunk_table, ontology.entity_types(spark), ontology.relation_rules(spark), min_confidence=0.2)
+    count = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), F.lit("kept").alias("reason"), "n")
+    return lost.groupBy("kind", "reason").agg(F.sum("n").alias("n")).unionByName(count(kept, "entity")).unionByName(count(relations, "relation"))
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) GROUP BY source")
@@ -520,10 +545,39 @@ def q16_page(spark, sf_dir):
     return Q.page(table(spark, sf_dir, "events").select(F.col("event_id").alias("attempt"), F.col("event_type").alias("question_type")), "click", 40, 20).select("attempt", "total")
 
 
-@query("SELECT event_type AS type, user_id % 5 AS strategy, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 5))")
+_POSED = """posed AS (SELECT c_custkey % 5 AS strategy, CASE WHEN c_custkey % 9 = 7 THEN 'cot' ELSE 'fill_blank' END AS question_type, CASE c_custkey % 9 WHEN 1 THEN 'fill blank lacks mask or entity answer' WHEN 2 THEN 'unverifiable supporting facts'
+  WHEN 3 THEN 'fill answer absent from graph' WHEN 4 THEN 'missing question' WHEN 5 THEN 'unknown referenced entity' WHEN 6 THEN 'graph reference in training text' WHEN 7 THEN 'CoT lacks multiple evidence steps' WHEN 8 THEN 'unknown answer entity' ELSE 'ok' END AS reason
+  FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+def posed(spark, sf_dir):
+    """Of each customer's fact (its nation) an item, with a fault of one of eight kinds in eight of nine; attempts, nodes and edges."""
+    none = F.array().cast("array<string>")
+    n = stargraph.nodes(spark, sf_dir).where(F.col("type").isin("Combat Unit", "Command Structure")).select("id", "name", "type", none.alias("aliases"), F.create_map().cast(G.ATTRIBUTES).alias("attributes"))
+    e = stargraph.sql_edges(spark, sf_dir, ("Unit-Org",))
+    key = F.substring("source", 2, 20).cast("long")
+    k = key % 9
+    facts = e.join(n.select(F.col("id").alias("source"), F.col("name").alias("unit")), "source").join(n.select(F.col("id").alias("target"), F.col("name").alias("command")), "target")
+    question = F.when(k == 1, F.concat("unit", F.lit(" is under which command?"))).when(k == 4, "").when(k == 6, F.concat("unit", F.lit(", see e00012, is under ____."))).otherwise(F.concat("unit", F.lit(" is under ____.")))
+    item = F.struct(
+        question.alias("question"), F.array().cast("array<string>").alias("options"), F.when(k == 3, "nowhere at all").otherwise(F.col("command")).alias("answer"), F.concat(F.lit("So it is said of "), "unit").alias("explanation"),
+        F.array(F.when(k == 2, "none").otherwise(F.col("id"))).alias("supporting_facts"), F.array(F.when(k == 5, "none").otherwise(F.col("source"))).alias("referenced_entities"), F.array(F.when(k == 8, "none").otherwise(F.col("target"))).alias("answer_entities"),
+    )
+    rows = facts.select(key.alias("attempt"), F.to_json(item).alias("reply_json"))
+    attempts = facts.select(
+        key.alias("attempt"), F.when(k == 7, "cot").otherwise("fill_blank").alias("question_type"), F.lit(True).alias("truth"), F.array("id").alias("sub_edges"), F.array("source", "target").alias("sub_nodes"), (key % 5).alias("strategy")
+    )
+    return Q.parse_items(rows), attempts, n, e
+
+
+@query(f"WITH {_POSED} SELECT question_type, reason, count(*) AS n FROM posed GROUP BY 1, 2")
+def q5_validation(spark, sf_dir):
+    return Q.validate(*posed(spark, sf_dir)).groupBy("question_type", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_POSED} SELECT question_type, strategy, reason, count(*) AS n FROM posed GROUP BY GROUPING SETS ((question_type, reason), (strategy, reason), (reason), ())")
 def q17_report(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), (F.col("user_id") % 5).alias("strategy"))
-    return rows.groupingSets([["type"], ["strategy"]], "type", "strategy").agg(F.count("*").alias("n"))
+    return Q.audit(*posed(spark, sf_dir))
 
 
 # ---- metrics

@@ -11,17 +11,27 @@ from factloom.functions.text import leaks
 
 #: The relation type of graphs that were written before relations had types of their own.
 LEGACY_TYPE = "LEGACY_RELATION"
+NODE_COLUMNS = "id string, name string, type string, aliases array<string>, attributes map<string,struct<value:string,confidence:double,chunk_id:string>>, confidence double, chunks array<string>"
+EDGE_COLUMNS = "id string, source string, target string, type string, confidence double, evidence array<struct<text:string,chunk_id:string>>, derived_from_attribute boolean"
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a JSON file {nodes, edges}."""
-    attribute = "map<string,struct<value:string,confidence:double,chunk_id:string>>"
-    node = f"struct<id:string,name:string,type:string,aliases:array<string>,attributes:{attribute},confidence:double,chunks:array<string>>"
-    edge = "struct<id:string,source:string,target:string,type:string,confidence:double,evidence:array<struct<text:string,chunk_id:string>>,derived_from_attribute:boolean>"
-    raw = spark.read.schema(f"nodes array<{node}>, edges array<{edge}>").json(path, multiLine=True)
+    raw = spark.read.schema(f"nodes array<struct<{NODE_COLUMNS}>>, edges array<struct<{EDGE_COLUMNS}>>").json(path, multiLine=True)
     return raw.select(F.inline("nodes")), raw.select(F.inline("edges"))
 
 
+def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph as JSON Lines in the folders nodes and edges below path: no task sees the whole graph."""
+    for name, rows in (("nodes", nodes), ("edges", edges)):
+        rows.write.option("ignoreNullFields", "false").json(f"{path.rstrip('/')}/{name}")
+
+
+def read_graph_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that write_graph_json() wrote."""
+    return tuple(spark.read.schema(schema).json(f"{path.rstrip('/')}/{name}") for name, schema in (("nodes", NODE_COLUMNS), ("edges", EDGE_COLUMNS)))
+
+
 def read_extractions(spark: SparkSession, path: str) -> DataFrame:
     """chunk_id, entities, relations of a JSON array of validated extractions."""
     entity = "struct<name:string,type:string,aliases:array<string>,attributes:map<string,string>,confidence:double,chunk_id:string>"
@@ -64,6 +74,23 @@ def catalogue(graphs: DataFrame) -> DataFrame:
     return graphs.orderBy(F.desc("updated_at"), "id")
 
 
+def create(graphs: DataFrame, graph_id: str, name: str, now: str) -> DataFrame:
+    """graphs (id, name, version, node_count, edge_count, created_at, updated_at) with a new, empty one at version 0; raises if the id is taken."""
+    if not graphs.where(F.col("id") == graph_id).isEmpty():
+        raise ValueError(f"there is a graph {graph_id} already")
+    new = {"id": graph_id, "name": name, "version": 0, "node_count": 0, "edge_count": 0, "created_at": now, "updated_at": now}
+    row = graphs.sparkSession.range(1).select(*[F.lit(new.get(f.name)).cast(f.dataType).alias(f.name) for f in graphs.schema])
+    return graphs.unionByName(row)
+
+
+def get(graphs: DataFrame, graph_id: str) -> dict:
+    """A graph's row; raises if there is none."""
+    row = graphs.where(F.col("id") == graph_id).first()
+    if row is None:
+        raise KeyError(f"no graph {graph_id}")
+    return row.asDict()
+
+
 def commit_version(graphs: DataFrame, graph_id: str, expected: int, node_count: int, edge_count: int, now: str) -> DataFrame:
     """graphs with the new version of one of them; raises if it is not at the expected version.
 

@@ -126,3 +126,84 @@ def test_seeds_stay_apart_and_take_mentions(spark):
     new = [(0, 0, "ALPHA ONE", "Combat Unit", [], {}, 0.5, "d:2"), (1, 0, "beta", "Combat Unit", [], {}, 0.5, "d:2"), (2, 0, "Gamma", "Combat Unit", [], {}, 0.5, "d:2")]
     placed = {r["pos"]: r["node"] for r in G.align(spark.createDataFrame(new, MENTION), seeds=spark.createDataFrame(seeds, MENTION)).collect()}
     assert placed == {-3: -3, -2: -2, -1: -1, 0: -2, 1: -1, 2: 2}
+
+
+RELATION = "pos long, extraction long, source string, target string, type string, confidence double, evidence string, chunk_id string, derived_from_attribute boolean"
+
+
+def small_graph(spark):
+    m = [(0, 0, "Ship A", "Platform/Carrier", [], {"range": "10 km", "crew": "5"}, 0.5, "d1:s:0001"), (1, 0, "Gun", "Weapon System", [], {}, 0.9, "d1:s:0001")]
+    r = [(0, 0, "Ship A", "Gun", "Equip-Carry", 0.5, "Ship A carries Gun", "d1:s:0001", False)]
+    return G.build(spark.createDataFrame(m, MENTION), spark.createDataFrame(r, RELATION), ontology.relation_rules(spark))
+
+
+def test_synonym_chains_of_any_length(spark):
+    pairs = [(f"k{k}", f"k{k + 1}") for k in range(40)] + [("a", "b"), ("b", "a")]
+    got = {r["key"]: r["canonical"] for r in G.synonym_closure(spark.createDataFrame(pairs, "alias string, canonical string")).collect()}
+    assert all(got[f"k{k}"] == "k40" for k in range(40)) and {got["a"], got["b"]} <= {"a", "b"}
+
+
+def test_extending_keeps_ids_and_merges(spark):
+    nodes, edges = small_graph(spark)
+    m = [
+        (0, 0, "ship-a", "Platform/Carrier", [], {"range": "12 km", "crew": "6"}, 0.5, "d2:s:0001"), (1, 0, "Gun", "Weapon System", ["Big Gun"], {"caliber": "9"}, 0.4, "d2:s:0001"),
+        (2, 0, "Unit One", "Combat Unit", [], {}, 0.7, "d2:s:0001"),
+    ]
+    r = [(0, 0, "ship-a", "Gun", "Equip-Carry", 0.9, "ship-a has a Gun", "d2:s:0001", False), (1, 0, "Unit One", "Gun", "Unit-Equip", 0.6, "Unit One has a Gun", "d2:s:0001", False)]
+    more, links = G.extend(nodes, edges, spark.createDataFrame(m, MENTION), spark.createDataFrame(r, RELATION), ontology.relation_rules(spark))
+    n = {x["id"]: x for x in more.collect()}
+    assert {k: x["name"] for k, x in n.items()} == {"n000001": "Ship A", "n000002": "Gun", "n000003": "Unit One"}
+    assert n["n000001"]["attributes"]["range"]["value"] == "10 km" and n["n000001"]["attributes"]["range"]["chunk_id"] == "d1:s:0001" and n["n000001"]["aliases"] == ["ship-a"]
+    assert n["n000001"]["chunks"] == ["d1:s:0001", "d2:s:0001"] and n["n000002"]["attributes"]["caliber"]["confidence"] == 0.4 and n["n000002"]["confidence"] == 0.9
+    e = {x["id"]: x for x in links.collect()}
+    assert {k: (x["source"], x["target"], x["type"], x["confidence"]) for k, x in e.items()} == {"e000001": ("n000001", "n000002", "Equip-Carry", 0.9), "e000002": ("n000003", "n000002", "Unit-Equip", 0.6)}
+    assert [x["text"] for x in e["e000001"]["evidence"]] == ["Ship A carries Gun", "ship-a has a Gun"]
+    again, same = G.extend(more, links, spark.createDataFrame([], MENTION), spark.createDataFrame([], RELATION), ontology.relation_rules(spark))
+    assert store.changed(again, more).count() == 0 and store.changed(same, links).count() == 0
+
+
+def test_specifications_become_nodes(spark):
+    nodes, edges = small_graph(spark)
+    chunk = spark.createDataFrame([("d1:s:0001", "Ship A has a range of 10 km and a crew.")], "chunk_id string, text string")
+    more, links, added = G.materialize_specifications(nodes, edges, chunk, ontology.relation_rules(spark))
+    assert added == 1 and links.where("derived_from_attribute").select("source", "target", "type").collect() == [("n000001", "n000003", "Weapon-Spec")]
+    assert more.where("id = 'n000003'").first()["name"] == "range：10 km"
+    assert G.materialize_specifications(more, links, chunk, ontology.relation_rules(spark))[2] == 0
+
+
+def test_graph_files(spark, tmp_path):
+    import json
+
+    nodes, edges = small_graph(spark)
+    store.write_graph_json(nodes, edges, f"{tmp_path}/graph")
+    back = store.read_graph_lines(spark, f"{tmp_path}/graph")
+    assert store.changed(back[0], nodes).count() == 0 and store.changed(edges, back[1]).count() == 0 and back[0].count() == 2
+    whole = {name: [json.loads(r) for r in df.toJSON().collect()] for name, df in (("nodes", nodes), ("edges", edges))}
+    (tmp_path / "graph.json").write_text(json.dumps(whole, indent=1))
+    n, e = store.read_graph_json(spark, f"{tmp_path}/graph.json")
+    assert store.changed(n, nodes).count() == 0 and store.changed(e, edges).count() == 0
+    rows = [{"chunk_id": "c", "entities": [{"name": "Gun", "type": "Weapon System", "aliases": [], "attributes": {"a": "1"}, "confidence": 0.5, "chunk_id": "c"}], "relations": []}]
+    (tmp_path / "x.json").write_text(json.dumps(rows))
+    assert store.read_extractions(spark, f"{tmp_path}/x.json").first()["entities"][0]["attributes"] == {"a": "1"}
+
+
+def test_tables_of_graphs(spark):
+    nodes, edges = small_graph(spark)
+    new = nodes.withColumn("confidence", F.lit(0.1)).where("id = 'n000001'")
+    merged = store.upsert(nodes, new)
+    assert {r["id"]: r["confidence"] for r in merged.collect()} == {"n000001": 0.1, "n000002": 0.9}
+    assert tuple(store.save_counts(merged, edges, nodes, edges.limit(0)).first()) == (1, 1, 2, 1)
+    documents = spark.createDataFrame([("d1",), ("d9",)], "doc_id string")
+    assert {tuple(r) for r in G.mentioned_in(nodes, documents).collect()} == {("n000001", "d1"), ("n000002", "d1")}
+    graphs = spark.createDataFrame([], "id string, name string, created_at string, updated_at string, node_count long, edge_count long, version long")
+    graphs = store.create(store.create(graphs, "g", "one", "t1"), "h", "two", "t2")
+    assert store.get(graphs, "g")["version"] == 0 and [r["id"] for r in store.catalogue(graphs).collect()] == ["h", "g"]
+    with pytest.raises(ValueError):
+        store.create(graphs, "g", "again", "t3")
+    with pytest.raises(KeyError):
+        store.get(graphs, "none")
+
+
+def test_texts_without_words_are_like_no_other(spark):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "abc"), (5, "abc")], "id long, text string")
+    assert sorted(r["id"] for r in S.first_kept(items).collect()) == [1, 2, 3, 4]
