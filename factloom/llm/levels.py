@@ -47,11 +47,10 @@ class Levels:
         """The runs, the smallest first."""
         return [self.table(name) for _, name in sorted(self.runs)]
 
-    def add(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Put rows in as a run of level 0, then merge full levels."""
+    def add(self, rows: DataFrame) -> None:
+        """Put rows in as a run of level 0. Full levels are merged by compact(), which is called before the next rows are made from the runs."""
         self.runs.append((0, self._write(rows)))
         self._save()
-        self.compact(merge)
 
     def compact(self, merge: Callable[[DataFrame, DataFrame], DataFrame], all_runs: bool = False) -> None:
         """Merge full levels, or all runs into one, two runs at a time."""

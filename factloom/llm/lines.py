@@ -50,13 +50,14 @@ class LineRuns:
         self.levels = Levels(spark, "key", folder, fanout)
 
     def add(self, keys: DataFrame) -> None:
-        """Put a batch's keys (doc_id, key) in: a document counts once for a key."""
+        """Merge full levels, then put a batch's keys (doc_id, key) in: a document counts once for a key."""
+        self.levels.compact(merge_runs)
         batch = keys.groupBy("key").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
         found = F.lit(False)
         for k, run in enumerate(self.levels.tables()):
             batch = batch.hint("merge").join(run.select("key", F.lit(True).alias(f"in_{k}")), "key", "left")
             found = found | F.coalesce(f"in_{k}", F.lit(False))
-        self.levels.add(batch.select("key", "n_docs", "last_doc", (~found).alias("new")), merge_runs)
+        self.levels.add(batch.select("key", "n_docs", "last_doc", (~found).alias("new")))
 
     def merged(self) -> DataFrame | None:
         """All runs as one."""

@@ -5,14 +5,16 @@ and an earlier start). Suffixes are taken at anchors only: of the k-grams of eac
 with the least hash (the leftmost of equals). Equal strings have equal anchors at equal places, so every repeat
 shows at an anchor; k is two fifths of `length`.
 
-Documents come in batches of ascending doc_id. A batch's anchors are a sparse suffix array, sorted by the hash of
-what follows them (kh: the k-gram) and the hash of all bytes that strings with this anchor can cover (ch). It is
-merge-scanned against the tables of the earlier batches, dealt over partitions by kh:
+Documents come in batches of ascending doc_id. A batch's anchors are a sparse suffix array, sorted by the hash of all
+bytes that strings with this anchor can cover (ch). It is merge-joined with the levels of the earlier batches, which
+are sorted alike and dealt into the same buckets:
 - an anchor whose ch came up before repeats wholly: all strings around it started earlier;
-- an anchor whose ch is new is added; if its kh came up with another ch, both are candidates.
-Tables of equal size are merged, two at a time, before the next batch comes, so that their number grows with the
-logarithm of the number of batches. At the end the candidates' surroundings are fetched from the texts and the
-strings in them compared by 64-bit hashes of their bytes, so that repeats end at their exact bytes.
+- an anchor whose ch is new is the first of its kind, and a row of the run that the batch adds.
+Runs of equal size are merged, two at a time, before the next batch comes, so that their number grows with the
+logarithm of the number of batches (levels.py); a later call can open the family and add batches of larger ids.
+
+First anchors of one k-gram (kh) with several surroundings are candidates: their surroundings are fetched from the
+texts, and the strings in them compared by 64-bit hashes of their bytes, so that repeats end at their exact bytes.
 
 Null texts are empty. Documents without an id are neither looked at nor changed. Rows that share an id are one
 document for the order: their common repeats at equal places stay.
@@ -25,15 +27,21 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.arrow_rows import map_rows, shared_folder, slices, stored, whole
+from factloom.llm.arrow_rows import bound_batches, drop_folder, drop_stored, map_rows, shared_folder, slices, stored, whole
+from factloom.llm.levels import Levels, merged_by
 
 #: An odd multiplier and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Candidates of one k-gram beyond which their strings are dealt out singly.
 GROUP_LIMIT = 20_000
+#: A k-gram is hot if it has more first anchors than this, and more than one in so many of all: at most HOT_SHARE k-grams of 8 bytes, which are broadcast.
+HOT_ROWS, HOT_SHARE = 10_000, 1_000_000
+#: What a partition counts of a k-gram if it has so many rows of it at least, and rows that it counts at once.
+SEEN_OFTEN, COUNT_ROWS = 32, 4_000_000
 
 
 @lru_cache(maxsize=4)
@@ -97,94 +105,113 @@ def anchors(data: np.ndarray, lengths: np.ndarray, length: int, k: int):
     return text, at - starts[text], grams[at], around
 
 
+#: Kinds of rows that batch_anchors() makes: repeats within a slice of documents, and the slice's first of each ch.
+REPEAT, FIRST = 0, 1
+SUFFIX = "kh long, ch long, doc long, pos int"
+
+
 def batch_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """kh, ch, doc, pos of all anchors of docs (doc_id, text)."""
+    """kh, ch, doc, pos, kind of all anchors of docs (doc_id, text), combined within slices."""
 
     def run(batches):
         for part in slices(batches):
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
             ids = part.column("doc_id").to_numpy()
             text, pos, kh, ch = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), np.array(list(map(len, texts)), dtype=np.int64), length, k)
-            yield pa.RecordBatch.from_arrays([pa.array(kh.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(ids[text]), pa.array(pos.astype(np.int32))], names=["kh", "ch", "doc", "pos"])
+            doc = ids[text]
+            order = np.lexsort((pos, doc, ch))
+            kh, ch, doc, pos = kh[order], ch[order], doc[order], pos[order]
+            new = np.concatenate([[True], ch[1:] != ch[:-1]])[: len(ch)]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(ch) else np.zeros(0, np.int64)
+            # a place of its own kind's first is the same document's, in another row
+            kept = new | (doc != doc[first]) | (pos != pos[first])
+            columns = [pa.array(kh[kept].view(np.int64)), pa.array(ch[kept].view(np.int64)), pa.array(doc[kept]), pa.array(pos[kept].astype(np.int32)), pa.array(np.where(new[kept], FIRST, REPEAT).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["kh", "ch", "doc", "pos", "kind"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kh long, ch long, doc long, pos int")
+    bound_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, f"{SUFFIX}, kind int")
 
 
-#: Kinds of rows that a merge-scan makes: repeats (doc, pos), new suffixes (all columns), candidates (kh, doc, pos).
-REPEAT, NEW, CANDIDATE = 0, 1, 2
-SUFFIX = "kh long, ch long, doc long, pos int"
-
-
-def merge_scan(batches):
-    """Of one partition's suffixes (kh, ch, doc, pos, old: from a level), sorted together: what is new, what repeats, and the candidates."""
-    table = whole(batches)
-    if table is None:
-        return
-    kh, ch, doc, pos, old = (table.column(c).to_numpy() for c in ("kh", "ch", "doc", "pos", "old"))
-    order = np.lexsort((pos, doc, ~old, ch, kh))
-    kh, ch, doc, pos, old = kh[order], ch[order], doc[order], pos[order], old[order]
-    new_group = np.concatenate([[True], kh[1:] != kh[:-1]])
-    first = new_group | np.concatenate([[True], ch[1:] != ch[:-1]])
-    added = first & ~old
-    group = np.cumsum(new_group) - 1
-    # a k-gram with several surroundings, one of them new: all of these are candidates
-    several = (np.bincount(group, weights=first) > 1) & (np.bincount(group, weights=added) > 0)
-    rows = ((REPEAT, ~first & ~old), (NEW, added), (CANDIDATE, first & several[group]))
-    for kind, which in rows:
-        for at in np.array_split(np.flatnonzero(which), max(1, int(which.sum()) // 50_000)):
-            if len(at):
-                nothing = pa.nulls(len(at), pa.int64())
-                k, c = nothing if kind == REPEAT else pa.array(kh[at]), pa.array(ch[at]) if kind == NEW else nothing
-                yield pa.RecordBatch.from_arrays([k, c, pa.array(doc[at]), pa.array(pos[at]), pa.array(np.full(len(at), kind, np.int32))], names=["kh", "ch", "doc", "pos", "kind"])
+#: The merge join of two runs; a ch has its row in one of them.
+merge_runs = merged_by("ch", kh=F.coalesce, doc=F.coalesce, pos=F.coalesce)
 
 
 class SuffixFamily:
-    """Suffix tables (kh, ch, doc, pos: of each ch its first place), sorted by kh; a table of level n holds 2**n batches."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.levels = spark, []  # (level, table)
-        self.repeats, self.candidates = [], []
-
-    def add(self, found: DataFrame) -> None:
-        """Merge-scan a batch's suffixes with all tables; its new ones become a table of level 0."""
-        self._compact()
-        rows = found.withColumn("old", F.lit(False))
-        for _, level in self.levels:
-            rows = rows.unionByName(level.withColumn("old", F.lit(True)))
-        path = shared_folder(self.spark, "suffixes")
-        scanned = rows.repartition("kh").mapInArrow(merge_scan, f"{SUFFIX}, kind int")
-        scanned.write.partitionBy("kind").parquet(path)
-        part = lambda kind: self.spark.read.schema(f"{SUFFIX}, kind int").parquet(path).where(F.col("kind") == kind)
-        self.repeats.append(part(REPEAT).select("doc", "pos"))
-        self.candidates.append(part(CANDIDATE).select("kh", "doc", "pos"))
-        new = self.spark.createDataFrame([], SUFFIX) if part(NEW).isEmpty() else self.spark.read.schema(SUFFIX).parquet(f"{path}/kind={NEW}")
-        self.levels.append((0, new))
-
-    def _compact(self) -> None:
-        """Merge two tables of one level into one of the next, as long as there are two."""
-        while True:
-            numbers = [n for n, _ in self.levels]
-            n = next((n for n in sorted(set(numbers)) if numbers.count(n) > 1), None)
-            if n is None:
-                return
-            pair = [x for x in self.levels if x[0] == n][:2]
-            merged = stored(pair[0][1].unionByName(pair[1][1]).repartition("kh"), f"suffixes-level-{n + 1}", sort_by="kh")
-            self.levels = [x for x in self.levels if x not in pair] + [(n + 1, merged)]
-            for _, table in pair:
-                drop_files(table)
-
-    def close(self) -> None:
-        for _, table in self.levels:
-            drop_files(table)
-        self.levels = []
-
-
-def drop_files(table: DataFrame) -> None:
-    """Delete the files of a table of new suffixes (its repeats and candidates stay)."""
-    spark = table.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Levels of runs (kh, ch, doc, pos: of each ch its first place), sorted by ch; folder: of a family to go on with."""
+
+    def __init__(self, spark: SparkSession, length: int, folder: str | None = None):
+        self.spark, self.length, self.k = spark, length, max(1, length * 2 // 5)
+        self.levels = Levels(spark, "ch", folder)
+        self.repeats: list[DataFrame] = []
+        self.folders: list[str] = []
+
+    def last_doc(self) -> int | None:
+        return max((x for t in self.levels.tables() if (x := t.agg(F.max("doc")).first()[0]) is not None), default=None)
+
+    def add(self, docs: DataFrame) -> None:
+        """Merge-join a batch's anchors with all runs; its first ones become a run. Ids are above those of earlier batches."""
+        self.levels.compact(merge_runs)
+        path = shared_folder(self.spark, "anchors")
+        batch_anchors(docs, self.length, self.k).write.partitionBy("kind").parquet(path)
+        self.folders.append(path)
+        found = self.spark.read.schema(f"{SUFFIX}, kind int").parquet(path)
+        own = W.partitionBy("ch").orderBy("doc", "pos")
+        place = F.struct("doc", "pos")
+        rows = found.where(F.col("kind") == FIRST).select("kh", "ch", "doc", "pos", F.row_number().over(own).alias("r"), (F.first(place).over(own) != place).alias("later"))
+        known = F.lit(False)
+        for n, run in enumerate(self.levels.tables()):
+            rows = rows.hint("merge").join(run.select("ch", F.lit(True).alias(f"in_{n}")), "ch", "left")
+            known = known | F.coalesce(f"in_{n}", F.lit(False))
+        path = shared_folder(self.spark, "scanned")
+        kind = F.when(known | F.col("later"), REPEAT).otherwise(FIRST)
+        rows.where(known | F.col("later") | (F.col("r") == 1)).select("kh", "ch", "doc", "pos", kind.alias("kind")).write.partitionBy("kind").parquet(path)
+        self.folders.append(path)
+        scanned = self.spark.read.schema(f"{SUFFIX}, kind int").parquet(path)
+        self.repeats += [t.where(F.col("kind") == REPEAT).select("doc", "pos") for t in (found, scanned)]
+        self.levels.add(scanned.where(F.col("kind") == FIRST).select("kh", "ch", "doc", "pos"))
+
+    def stretches(self, texts: DataFrame, since: int | None = None) -> DataFrame:
+        """doc, start, stop of what repeats in the batches added by this object; texts: all documents, of earlier calls too. since: the first id of those batches."""
+        repeated = reduce(DataFrame.unionByName, self.repeats).select("doc", (F.col("pos") - (self.length - self.k)).alias("start"), (F.col("pos") + self.length).alias("stop"))
+        near = stored(surroundings(texts, self.candidates(since), self.length, self.k), "suffix-near")
+        out = repeated.unionByName(repeats(near, self.length, self.k))
+        out = stored(out if since is None else out.where(F.col("doc") >= since), "suffix-stretches")
+        for folder in self.folders:
+            drop_folder(self.spark, folder)
+        drop_stored(near)
+        return out
+
+    def candidates(self, since: int | None) -> DataFrame:
+        """kh, doc, pos of first anchors whose k-gram has several (one of them at least of a document from since on).
+
+        Hot k-grams, found by what partitions see often, have several; all others are counted by a window each.
+        """
+        rows = reduce(DataFrame.unionByName, [t.select("kh", "doc", "pos") for t in self.levels.tables()])
+        total = rows.count()
+
+        def often(batches):
+            held, size = [], 0
+
+            def seen():
+                kh, n = np.unique(np.concatenate(held), return_counts=True)
+                some = n >= SEEN_OFTEN
+                return pa.RecordBatch.from_arrays([pa.array(kh[some]), pa.array(n[some])], names=["kh", "n"])
+
+            for batch in batches:
+                held.append(batch.column(0).to_numpy())
+                size += batch.num_rows
+                if size >= COUNT_ROWS:
+                    yield seen()
+                    held, size = [], 0
+            if held:
+                yield seen()
+
+        counted = rows.select("kh").mapInArrow(often, "kh long, n long").groupBy("kh").agg(F.sum("n").alias("n"))
+        hot = stored(counted.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("kh"), "suffix-hot")
+        group = W.partitionBy("kh")
+        light = rows.join(F.broadcast(hot), "kh", "left_anti").select("kh", "doc", "pos", F.count("*").over(group).alias("n"), F.max("doc").over(group).alias("last")).where("n > 1")
+        light = (light if since is None else light.where(F.col("last") >= since)).select("kh", "doc", "pos")
+        return light.unionByName(rows.join(F.broadcast(hot), "kh"))
 
 
 def surroundings(docs: DataFrame, candidates: DataFrame, length: int, k: int) -> DataFrame:
@@ -312,25 +339,25 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def repeated_stretches(docs: DataFrame, length: int = 100, batches: int = 4) -> DataFrame:
-    """doc, start, stop (bytes) of all stretches of docs (doc_id long, text) to remove; a document's may overlap."""
-    k = max(1, length * 2 // 5)
-    family = SuffixFamily(docs.sparkSession)
-    bounds = [None, *batch_bounds(docs, batches), None]
+def suffix_dedup(docs: DataFrame, length: int = 100, batches: int = 4, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_bytes, kept binary, removed array<struct<start, stop>> (bytes, maximal and ascending).
+
+    folder: of a family of levels, to begin or to go on with; docs are added to it, and what repeats earlier calls'
+    documents goes as well. earlier: the documents of those calls, whose ids have to be below those of docs.
+    """
+    spark, columns = docs.sparkSession, [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")]
+    source = docs.select(columns)
+    family = SuffixFamily(spark, length, folder)
+    last, since = family.last_doc(), source.agg(F.min("doc_id")).first()[0]
+    if last is not None and since is not None and since <= last:
+        raise ValueError(f"doc_id {since} is not above {last}, the last one of the family")
+    bounds = [None, *batch_bounds(source, batches), None]
     for low, high in zip(bounds, bounds[1:], strict=False):
-        here = docs.where(F.col("doc_id").isNotNull() if low is None else F.col("doc_id") >= low)
-        family.add(batch_anchors(here if high is None else here.where(F.col("doc_id") < high), length, k))
-    whole = reduce(DataFrame.unionByName, family.repeats).select("doc", (F.col("pos") - (length - k)).alias("start"), (F.col("pos") + length).alias("stop"))
-    candidates = reduce(DataFrame.unionByName, family.candidates).distinct()
-    family.close()
-    near = stored(surroundings(docs, candidates, length, k), "suffix-near")
-    return whole.unionByName(repeats(near, length, k))
-
-
-def suffix_dedup(docs: DataFrame, length: int = 100, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, kept binary, removed array<struct<start, stop>> (bytes, maximal and ascending)."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = stored(repeated_stretches(source, length, batches), "suffix-stretches")
+        here = source.where(F.col("doc_id").isNotNull() if low is None else F.col("doc_id") >= low)
+        family.add(here if high is None else here.where(F.col("doc_id") < high))
+    found = family.stretches(source if earlier is None else earlier.select(columns).unionByName(source), None if last is None else since)
+    if folder is None:
+        family.levels.close()
     per_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("stretches"))
     met = source.join(stored(per_doc, "suffix-by-document"), "doc_id", "left")
 

@@ -31,6 +31,10 @@ def repeated_bytes(texts, length=100):
 @pytest.mark.parametrize("limit", [20_000, 2])
 def test_suffix_dedup_against_brute_force(spark, odd_texts, limit, monkeypatch):
     monkeypatch.setattr(suffixes, "GROUP_LIMIT", limit)
+    if limit == 2:  # hot k-grams at once
+        monkeypatch.setattr(suffixes, "HOT_ROWS", 2)
+        monkeypatch.setattr(suffixes, "HOT_SHARE", 10**9)
+        monkeypatch.setattr(suffixes, "SEEN_OFTEN", 2)
     rng = random.Random(4)
     chunk = ["".join(rng.choices("abcdefghij ", k=rng.randint(60, 260))) for _ in range(20)]
     texts = list(enumerate(odd_texts + ["".join(rng.choices(chunk, k=4)) for _ in range(40)] + [chunk[0] * 5, "q" * 700, "xy" * 300, "z" * 99, "w" * 100 + "v" + "w" * 100]))
@@ -41,6 +45,25 @@ def test_suffix_dedup_against_brute_force(spark, odd_texts, limit, monkeypatch):
     assert len(rows) == len(texts) + 1
 
 
+def test_suffix_family_is_opened_again(spark, odd_texts):
+    """Batches of ascending ids added call by call give what one call gives; earlier documents are looked up, not changed."""
+    from factloom.llm.arrow_rows import shared_folder
+
+    rng = random.Random(6)
+    chunk = ["".join(rng.choices("abcdefghij ", k=rng.randint(80, 260))) for _ in range(12)]
+    texts = list(enumerate(odd_texts[10:40] + ["".join(rng.choices(chunk, k=3)) for _ in range(30)]))
+    expected, folder = repeated_bytes(texts), shared_folder(spark, "suffix-family")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got, cuts = {}, [0, 20, 35, 50, 60]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        out = suffixes.suffix_dedup(frame(texts[low:high]), batches=1, folder=folder, earlier=frame(texts[:low]) if low else None).collect()
+        got |= {r["doc_id"]: (r["n_bytes"], sum(x["stop"] - x["start"] for x in r["removed"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in out}
+    assert got == expected
+    assert sorted(level for level, _ in suffixes.SuffixFamily(spark, 100, folder).levels.runs) == [0, 0, 1]
+    with pytest.raises(ValueError):
+        suffixes.suffix_dedup(frame(texts[:3]), folder=folder, earlier=frame(texts))
+
+
 def test_suffix_dedup_of_nothing(none, odd, clashing):
     assert suffixes.query(none).count() == 0
     assert {tuple(r) for r in suffixes.query(odd).collect()} == {tuple(r) for r in suffixes.query(clashing).collect()}
