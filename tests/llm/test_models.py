@@ -23,33 +23,73 @@ def prose(spark):
     return spark.createDataFrame(rows + [(500, None), (501, "")], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("hot", [1 << 17, 3])
-def test_language_model_against_plain_counts(prose, hot, monkeypatch):
-    monkeypatch.setattr(hpylm, "hot_words", lambda model, most=hot, f=hpylm.hot_words: f(model, most))
-    rows = {r["doc_id"]: r for r in hpylm.query(prose).collect()}
+@pytest.mark.parametrize("hot,own", [(1 << 15, 192), (6, 4), (1, 192)])
+def test_language_model_against_plain_counts(prose, hot, own, monkeypatch):
+    monkeypatch.setattr(hpylm, "HOT_WORDS", hot)
+    monkeypatch.setattr(hpylm, "OWN", own)
+    scored = hpylm.query(prose)
+    rows = {r["doc_id"]: r for r in scored.collect()}
     texts = {r["doc_id"]: r["text"] for r in prose.collect()}
     counts = Counter(t for k, x in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2 for t in tokens(x))
     n, v = sum(counts.values()), len(counts)
-    better = [0.0, 0.0]
     for k, x in texts.items():
-        own, r = tokens(x), rows[k]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(own), sum(counts[t] > 0 for t in own), n, zlib.crc32(str(k).encode()) % 7 == 2)
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in own))
+        own_, r = tokens(x), rows[k]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(own_), sum(counts[t] > 0 for t in own_), n, zlib.crc32(str(k).encode()) % 7 == 2)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in own_))
         assert r["score"] < 0
-        if r["held_out"]:
-            better[0] += r["score"]
-            better[1] += r["base_score"]
-    assert better[0] > better[1]
+    p = hpylm.perplexity(scored.where("held_out")).first()
+    held = [r for r in rows.values() if r["held_out"]]
+    assert p["perplexity"] == pytest.approx(10 ** (-sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)))
+    assert p["perplexity"] < 0.75 * p["base_perplexity"]
+
+
+def test_scores_are_the_same_by_broadcast_and_by_shuffle(prose, monkeypatch):
+    model = hpylm.learn(prose.select("text"))
+    hot = {r["doc_id"]: r["score"] for r in hpylm.score(prose, model).collect()}
+    model.frequent.keys = model.frequent.keys[:3]
+    rare = {r["doc_id"]: r["score"] for r in hpylm.score(prose, model).collect()}
+    assert hot.keys() == rare.keys() and all(hot[k] == pytest.approx(rare[k], rel=1e-9) for k in hot)
+
+
+def test_own_contexts_predict_what_follows_a_word(spark):
+    """After one frequent word always the same word comes, whose class has many others: only a context of its own can know."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(300):
+        words = []
+        for _ in range(30):
+            words += ["red", "fish"] if rng.random() < 0.2 else [rng.choice(["mixed", "bred", "shared", "led"]), rng.choice(["dog", "cat", "fish", "cow", "hen"])]
+        rows.append((k, " ".join(words)))
+    scored = hpylm.query(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out")
+    with_own = hpylm.perplexity(scored).first()["perplexity"]
+    # entropy of the source: after red 0 bits, after the others log2(5), before each pair 0.2 against 0.8 / 4
+    bits = (-(0.2 * math.log2(0.2) + 0.8 * math.log2(0.2)) + 0.8 * math.log2(5)) / 2
+    assert with_own < 2**bits * 1.1
 
 
 def test_probabilities_sum_to_one(prose):
     model = hpylm.learn(prose.select("text"))
     lp = hpylm.dense(model.seats, model.totals).toPandas()["lp"]
-    known = np.array([10.0 ** np.frombuffer(x, np.float32).astype(float) for x in lp]).sum(axis=0)
-    zero = np.zeros(1)
-    unknown = np.mean([model.totals.left_over(s) * model.totals.parent(zero, zero, s)[0] for s in range(hpylm.SAMPLES)], axis=0)
-    # the parent's base gives unknown words one share like each known word's
-    assert np.allclose(known + unknown, 1, atol=0.02)
+    known = np.array([10.0 ** np.frombuffer(x, np.float64) for x in lp]).sum(axis=0)
+    # the root's base gives unknown words one share like each known word's
+    assert np.allclose(known + 10.0 ** hpylm.unknown(model.totals), 1, atol=0.02)
+
+
+def test_strengths_follow_the_totals():
+    random_ = np.random.default_rng(3)
+    assert hpylm.digamma(np.array([1.0, 10.0])) == pytest.approx([-0.5772156649, 2.2517525891])
+    for strength in (2.0, 60.0):
+        tables = []
+        for _ in range(40):
+            t = 1
+            for n in range(1, 2000):
+                t += random_.random() < (strength + 0.4 * t) / (strength + n)
+            tables.append(t)
+        drawn, at = [], 10.0
+        for _ in range(60):
+            at = hpylm.sampled_strength(at, 0.4, np.full(40, 2000.0), np.array(tables, dtype=float), random_)
+            drawn.append(at)
+        assert 0.6 < np.mean(drawn[20:]) / strength < 1.6
 
 
 def test_seating_follows_the_restaurant_process():
