@@ -1,10 +1,14 @@
 """Media columns: texts stored as lossless WebP images, read back, and features of their pixels.
 
-A text's UTF-8 bytes, filled up with zeros to a positive multiple of 64, are the samples of images of 16 pixels a
-row (four bytes a pixel), at most FRAME_BYTES to an image; the stored form is the images' files one after another,
-so it has no bound and no image is large. Most images are literals under one fixed prefix code for text, packed and
-unpacked for many images at once. Images of few colours have a palette, back-references, a colour cache and codes
-of their own.
+A text's UTF-8 bytes, filled up with zeros to a positive multiple of 64, are the greens of an image of ROW_BYTES pixels
+a row. The format allows 16,384 rows, which are 1 MiB; a longer text is several images, one file after another, each of
+which any reader of the format opens. Of the ways to store an image the smallest is taken:
+- literals under one fixed code for text, which needs no code of its own (short texts);
+- back-references and codes of its own (most texts);
+- the same after the palette transform, which packs several pixels of few colours into one, where there are at most 16;
+- the same after a predictor (left or upper pixel) where that makes the samples more even.
+Colour cache and cross-colour transform have nothing to take out of images whose red and blue are always zero; the
+decoder reads them all the same.
 
 Null and empty texts are one image of zeros. Equal texts have equal values: nothing depends on their neighbours.
 """
@@ -21,29 +25,30 @@ from pyspark.sql import DataFrame
 from factloom.llm import webp
 from factloom.llm.arrow_rows import id_text, map_rows, sha
 
-#: Bytes of payload in one image, and in one of its rows.
-FRAME_BYTES, ROW_BYTES = 16 << 10, 64
+#: Pixels in a row (all payloads are whole rows), and bytes in one image.
+ROW_BYTES, IMAGE_BYTES = 64, 64 << 14
 #: Fixed weights of the prefix code for text: by group of characters, each of its members'.
 WEIGHTS = {" ": 170, "e": 100, "taoinsrh": 65, "dlucm": 32, "fgpwybv": 16, "kjxqz.,\n": 6}
 PLAIN, HIGH, CONTROL = 0.8, 1.0, 0.3
-#: An image has its own codes if at most one in so many of its pixels is a new colour.
-REPETITIVE = 4
+#: Texts below this are not worth codes of their own, which take about a hundred bytes.
+OWN_CODES = 320
 
 
 @lru_cache(maxsize=1)
 def text_code():
-    """(codes and lengths by byte, the bits of the image's header after its size, how many)."""
+    """(codes and lengths by byte, the bits of the image's header after its size, how many, the code's table)."""
     weights = {b: (HIGH if b > 127 else PLAIN if b > 31 else CONTROL) for b in range(256)}
     weights |= {ord(c): w for group, w in WEIGHTS.items() for c in group}
     lengths = webp.code_lengths(weights, 14)
     codes = webp.canonical(lengths)
     bits = webp.Bits()
     bits.write(0, 3)  # no transform, no cache, no meta codes
-    for size in (256 + webp.LENGTH_CODES, 256, 256, 256):
-        webp.write_code(bits, lengths, size)
+    webp.write_code(bits, lengths, 256 + webp.LENGTH_CODES)
+    for channel in (0, 0, 255):
+        webp.write_code(bits, {channel: 0}, 256)
     webp.write_code(bits, {}, webp.DISTANCE_CODES)
     value, n = bits.joined()
-    return np.array([codes[b][0] for b in range(256)], dtype=np.uint64), np.array([codes[b][1] for b in range(256)], dtype=np.uint64), value, n
+    return np.array([codes[b][0] for b in range(256)], dtype=np.int64), np.array([codes[b][1] for b in range(256)], dtype=np.int64), value, n, webp.table_of(tuple(sorted(lengths.items())))
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -51,84 +56,83 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * (-len(raw) % 64 or (64 if not raw else 0))
 
 
-def frames(payload: bytes) -> list[bytes]:
-    return [payload[k : k + FRAME_BYTES] for k in range(0, len(payload), FRAME_BYTES)]
+def as_pixels(samples: np.ndarray) -> np.ndarray:
+    return (samples.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1, ROW_BYTES)
 
 
-def as_pixels(frame: bytes) -> np.ndarray:
-    return np.frombuffer(frame, dtype="<u4").reshape(-1, ROW_BYTES // 4)
+def entropy(samples: np.ndarray) -> float:
+    """Bits a sample."""
+    share = np.bincount(samples, minlength=256) / len(samples)
+    share = share[share > 0]
+    return float(-(share * np.log2(share)).sum())
+
+
+def stream_of(payload: bytes) -> bytes:
+    """The VP8L stream of one image: the smallest of those that there is reason to try."""
+    samples = np.frombuffer(payload, dtype=np.uint8)
+    _, size, _, head_bits, _ = text_code()
+    counts = np.bincount(samples, minlength=256)
+    best, plain = None, 5 + (head_bits + int(counts @ size) + 7) // 8
+    if len(samples) >= OWN_CODES:
+        best = webp.byte_stream(samples, ROW_BYTES)
+        left, upper = entropy(np.diff(samples)), entropy(samples[ROW_BYTES:] - samples[:-ROW_BYTES])
+        if min(left, upper) < 0.8 * entropy(samples):
+            best = min(best, transformed(samples, (webp.PREDICTOR,), mode=1 if left < upper else 2), key=len)
+    if np.count_nonzero(counts) <= 16:
+        packed = transformed(samples, (webp.PALETTE,))
+        best = packed if best is None else min(best, packed, key=len)
+    return plain_stream(samples) if best is None or len(best) >= plain else best
+
+
+def transformed(samples: np.ndarray, transforms: tuple, mode: int = 1) -> bytes:
+    pixels, block = as_pixels(samples), 9
+    modes = np.full(tuple(-(-n // (1 << block)) for n in pixels.shape), mode)
+    return webp.stream_of(webp.encode(pixels, transforms, references=True, block_bits=block, modes=modes))[0]
+
+
+def plain_stream(samples: np.ndarray) -> bytes:
+    """Literals under the code for text."""
+    code, size, head, head_bits, _ = text_code()
+    fours = samples.reshape(-1, 4)
+    body, n = webp.packed([code[fours[:, k]] for k in range(4)], [size[fours[:, k]] for k in range(4)])
+    size_bits = (ROW_BYTES - 1) | (len(samples) // ROW_BYTES - 1) << 14 | 1 << 28
+    return struct.pack("<BI", 0x2F, size_bits) + (head | body << head_bits).to_bytes((head_bits + n + 7) // 8, "little")
 
 
 def store(payloads: list[bytes]) -> list[bytes]:
     """The stored form of each payload."""
-    cut = [frames(p) for p in payloads]
-    flat = [f for row in cut for f in row]
-    own = [len(np.unique(as_pixels(f))) * REPETITIVE <= len(f) // 4 for f in flat]
-    plain = iter(store_plain([f for f, o in zip(flat, own, strict=True) if not o]))
-    files = iter([store_own(f) if o else next(plain) for f, o in zip(flat, own, strict=True)])
-    return [b"".join(next(files) for _ in row) for row in cut]
-
-
-def store_own(frame: bytes) -> bytes:
-    pixels = as_pixels(frame)
-    colours = len(np.unique(pixels))
-    return webp.encode(pixels, (webp.PALETTE,) if colours <= 256 else (), cache_bits=0 if colours <= 256 else 8, references=True)
-
-
-def store_plain(flat: list[bytes]) -> list[bytes]:
-    """Files of literals under the code for text: all images' bits are laid into one array of 64-bit words."""
-    if not flat:
-        return []
-    code, size, head, head_bits = text_code()
-    data = np.frombuffer(b"".join(flat), dtype=np.uint8).reshape(-1, 4)
-    # the stream has green, red, blue, alpha of each pixel, whose bytes are blue, green, red, alpha
-    value, used = code[data[:, 1]], size[data[:, 1]]
-    for k in (2, 0, 3):
-        value |= code[data[:, k]] << used
-        used = used + size[data[:, k]]
-    count = np.array([len(f) // 4 for f in flat])
-    ends = np.cumsum(count)
-    firsts = ends - count
-    before = np.cumsum(used) - used
-    total = np.add.reduceat(used, firsts)
-    stream = (40 + head_bits + total.astype(np.int64) + 7) // 8
-    place = np.cumsum(stream) - stream
-    begin = np.repeat(place * 8 + 40 + head_bits - before[firsts].astype(np.int64), count) + before.astype(np.int64)
-    words = np.zeros(int(place[-1] + stream[-1]) // 8 + 2, dtype=np.uint64)
-    word, shift = begin >> 6, (begin & 63).astype(np.uint64)
-    group = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    words[word[group]] += np.add.reduceat(value << shift, group)
-    over = np.where(shift > 0, value >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-    words[word[group] + 1] += np.add.reduceat(over, group)
-    out = bytearray(words.tobytes())
-    fixed = (head << 40).to_bytes((40 + head_bits + 7) // 8, "little")
-    last = len(fixed) - 1
-    files = []
-    for at, n, pixels in zip(place.tolist(), stream.tolist(), count.tolist(), strict=True):
-        height = pixels * 4 // ROW_BYTES
-        size_bits = (ROW_BYTES // 4 - 1) | (height - 1) << 14 | 1 << 28
-        body = struct.pack("<BI", 0x2F, size_bits) + fixed[5:last] + bytes([out[at + last] | fixed[last]]) + out[at + last + 1 : at + n]
-        files.append(webp.riff(body))
-    return files
+    return [b"".join(webp.riff(stream_of(p[k : k + IMAGE_BYTES])) for k in range(0, len(p), IMAGE_BYTES)) for p in payloads]
+
+
+def read_image(stream: bytes) -> np.ndarray:
+    """The pixels of a stream; one under the code for text is known by its header."""
+    _, _, head, head_bits, table = text_code()
+    n = (head_bits + 7) // 8
+    if stream[:1] == b"\x2f" and stream[4:5] < b"\x20" and int.from_bytes(stream[5 : 5 + n], "little") & ((1 << head_bits) - 1) == head:
+        return webp.decode_literals(stream, 40 + head_bits, table)
+    return webp.decode_stream(stream)
 
 
 def read(stored: list[bytes]) -> list[np.ndarray]:
     """The pixels of each stored form: its images one under another."""
-    streams, counts = [], []
+    out = []
     for data in stored:
-        at = n = 0
+        at, images = 0, []
         while at < len(data):
             stream, at = webp.stream_of(data, at)
-            streams.append(stream)
-            n += 1
-        counts.append(n)
-    images = iter(webp.decode_all(streams))
-    return [np.concatenate([next(images) for _ in range(n)]) for n in counts]
+            images.append(read_image(stream))
+        out.append(np.concatenate(images) if len(images) > 1 else images[0])
+    return out
+
+
+def samples_of(pixels: np.ndarray) -> np.ndarray:
+    """The bytes that an image holds."""
+    return (pixels >> np.uint32(8)).astype(np.uint8)
 
 
 def feature(pixels: np.ndarray) -> str:
     """Rows, mean and deviation of the samples, share of rows that repeat the row above, and eight bins of sample values."""
-    samples = pixels.view(np.uint8)
+    samples = samples_of(pixels)
     bins = np.bincount(samples.ravel() >> 5, minlength=8)
     same = int((pixels[1:] == pixels[:-1]).all(axis=1).sum())
     return f"rows={len(pixels)};mean={samples.mean():.3f};deviation={samples.std():.3f};same={same};bins={','.join(map(str, bins.tolist()))}"
@@ -151,7 +155,7 @@ def from_media(media: DataFrame) -> DataFrame:
 
     def run(cols):
         pixels = read(cols[0])
-        return [[p.tobytes() for p in pixels], [feature(p) for p in pixels]]
+        return [[samples_of(p).tobytes() for p in pixels], [feature(p) for p in pixels]]
 
     return map_rows(source, run, "payload binary, feature string", keep=keep)
 
@@ -163,7 +167,7 @@ def digests(docs: DataFrame) -> DataFrame:
         made = [padded(t) for t in cols[0]]
         media = store([p for _, p in made])
         pixels = read(media)
-        back = [p.tobytes() for p in pixels]
+        back = [samples_of(p).tobytes() for p in pixels]
         return [
             [n for n, _ in made], [len(b) for b in back], [sha(b) for b in back], [zlib.crc32(b[-64:]) for b in back],
             [len(m) for m in media], [sha(m) for m in media], [feature(p) for p in pixels],

@@ -1,8 +1,9 @@
 """Lossless WebP images: an encoder and a decoder of the VP8L bit stream, on pixel arrays of uint32 (0xAARRGGBB).
 
 The decoder reads prefix codes, back-references, the colour cache and meta prefix codes, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. Images that use literals only are decoded together, one pixel
-of each image at a time; all others one by one.
+cross-colour, subtract-green and palette transforms. Where only green varies, as in images of bytes, greens are read by
+a loop of their own. encode() applies what it is told to; byte_stream() finds back-references in an image of bytes and
+lays codes and bits out with numpy.
 """
 
 from __future__ import annotations
@@ -66,14 +67,20 @@ def code_lengths(weights: dict[int, float], most: int = MAX_CODE) -> dict[int, i
         return dict.fromkeys(live, 0)
     floor = 0.0
     while True:
-        heap = [(max(w, floor), s, (s,)) for s, w in sorted(live.items())]
+        # nodes by number: symbols first, then the nodes that two others make
+        symbols = sorted(live)
+        heap = [(max(live[s], floor), k) for k, s in enumerate(symbols)]
         heapq.heapify(heap)
-        lengths = dict.fromkeys(live, 0)
+        up, new = [0] * (2 * len(symbols) - 1), len(symbols)
         while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
+            a = heapq.heappop(heap)
+            b = heapq.heapreplace(heap, (heap[0][0] + a[0], new))
+            up[a[1]] = up[b[1]] = new
+            new += 1
+        depth = [0] * new
+        for k in range(new - 2, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        lengths = {s: depth[k] for k, s in enumerate(symbols)}
         if max(lengths.values()) <= most:
             return lengths
         floor = floor * 2 if floor else sum(live.values()) / (1 << most)
@@ -261,9 +268,28 @@ def predicted(mode: int, left, top, right, corner):
     }[mode]()
 
 
+def along(parts: np.ndarray, axis: int, restore: bool) -> np.ndarray:
+    """predict_all() where all pixels are predicted by the left one (axis 2) or the upper one (axis 1): sums or differences along rows or columns."""
+    black = np.array([255, 0, 0, 0])
+    out = parts.copy()
+    # the first column goes by the upper pixel, the first row by the left one, whatever the mode
+    border, rest = (slice(None), slice(None), 0) if axis == 2 else (slice(None), 0, slice(None)), slice(1, None)
+    if restore:
+        out[:, 0, 0] += black
+        out[border] = np.cumsum(out[border], axis=1) & 255
+        return np.cumsum(out, axis=axis) & 255
+    inner = (slice(None), slice(None), rest) if axis == 2 else (slice(None), rest, slice(None))
+    out[inner] = np.diff(parts, axis=axis)
+    out[border][:, 1:] = np.diff(parts[border], axis=1)
+    out[:, 0, 0] = parts[:, 0, 0] - black
+    return out & 255
+
+
 def predict_all(parts: np.ndarray, modes: np.ndarray, bits: int, restore: bool) -> np.ndarray:
     """Residuals of an image (channels, rows, columns), or with restore the image of its residuals."""
     _, h, w = parts.shape
+    if (modes == modes.flat[0]).all() and modes.flat[0] in (1, 2):
+        return along(parts, 2 if modes.flat[0] == 1 else 1, restore)
     out = parts.copy()
     image = out if restore else parts
     black = np.array([255, 0, 0, 0])
@@ -308,12 +334,31 @@ def palette_bits(size: int) -> int:
 # ---- encoder
 
 
+@lru_cache(maxsize=16)
+def near_codes(width: int) -> dict[int, int]:
+    """The short code of each distance that has one."""
+    return {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(NEIGHBOURS))) if x + y * width > 0}
+
+
+@lru_cache(maxsize=16)
+def near_table(width: int) -> np.ndarray:
+    """The codes of all distances up to the largest one that has a short code."""
+    near = near_codes(width)
+    return np.array([near.get(d, d + len(NEIGHBOURS)) for d in range(max(near) + 1)], dtype=np.int64)
+
+
+@lru_cache(maxsize=16)
+def near_distances(width: int) -> list[int]:
+    """The distance of each short code, from code 1 on."""
+    return [max(1, x + y * width) for x, y in NEIGHBOURS]
+
+
 def tokens_of(pixels: np.ndarray, width: int, cache_bits: int, references: bool):
     """Literals (the pixel), cache hits ("c", index) and references ("r", length, distance code), first to last."""
     flat = pixels.tolist()
     cache = [None] * (1 << cache_bits) if cache_bits else None
     seen: dict[tuple, int] = {}
-    near = {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(NEIGHBOURS))) if x + y * width > 0}
+    near = near_codes(width)
     k, n = 0, len(flat)
 
     def note(upto):
@@ -416,6 +461,121 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, refe
     return riff(bits.bytes())
 
 
+#: Bytes that a reference is found by, the longest code of byte_stream() (whose tables are small), and the longest reference.
+MATCH, SHORT_CODE, LONGEST = 5, 11, 4096
+
+
+def references(data: np.ndarray) -> list[tuple[int, int, int]]:
+    """(position, length, distance) of references that a text of bytes is cut into, first to last; what lies between is literal.
+
+    Of each position the last earlier one with the same MATCH bytes is looked at, and the longest stretch taken.
+    """
+    n = len(data)
+    if n < 2 * MATCH:
+        return []
+    raw = data.tobytes()
+    key = np.ndarray(shape=(n - MATCH + 1,), dtype="<u8", buffer=raw + b"\0" * 8, strides=(1,)) & np.uint64((1 << 8 * MATCH) - 1)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return []
+    before = np.full(len(key) + 1, -1, dtype=np.int64)
+    before[order[same + 1]] = order[same]
+    following = np.where(before >= 0, np.arange(len(before)), n)
+    following = np.minimum.accumulate(following[::-1])[::-1]
+    last, at, out = int(order[same + 1].max()), 0, []
+    before, following = before.tolist(), following.tolist()
+    while at <= last:
+        at = following[at]
+        was, long = before[at], MATCH
+        while raw[was + long : was + long + 16] == raw[at + long : at + long + 16] and at + long < n:
+            long += 16
+        if at + long < n:
+            odd = int.from_bytes(raw[was + long : was + long + 16], "little") ^ int.from_bytes(raw[at + long : at + long + 16], "little")
+            long += ((odd & -odd).bit_length() - 1) >> 3 if odd else 16
+        long = min(long, n - at, LONGEST)
+        out.append((at, long, at - was))
+        at += long
+    return out
+
+
+def prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """prefix_of() of many lengths or distances."""
+    v = values.astype(np.int64) - 1
+    top = np.where(v > 1, np.floor(np.log2(np.maximum(v, 2))).astype(np.int64), 1)
+    second = (v >> (top - 1)) & 1
+    large = v >= 4
+    return np.where(large, 2 * top + second, v), np.where(large, v - ((2 + second) << (top - 1)), 0), np.where(large, top - 1, 0)
+
+
+def packed(values: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[int, int]:
+    """Rows of a few values of so many bits each (at most 64 a row), one after another: as a number, and how many bits."""
+    value, used = np.zeros(len(values[0]), dtype=np.uint64), np.zeros(len(values[0]), dtype=np.uint64)
+    for v, n in zip(values, sizes, strict=True):
+        value |= v.astype(np.uint64) << used
+        used += n.astype(np.uint64)
+    ends = np.cumsum(used)
+    if not len(ends) or not ends[-1]:
+        return 0, 0
+    begin = ends - used
+    words = np.zeros(int(ends[-1]) // 64 + 2, dtype=np.uint64)
+    word, shift = (begin >> np.uint64(6)).astype(np.int64), begin & np.uint64(63)
+    group = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    words[word[group]] += np.add.reduceat(value << shift, group)
+    over = np.where(shift > 0, value >> ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+    words[word[group] + 1] += np.add.reduceat(over, group)
+    return int.from_bytes(words.tobytes(), "little"), int(ends[-1])
+
+
+@lru_cache(maxsize=1)
+def still_channels() -> tuple[int, int]:
+    """The codes of red, blue (zero) and alpha (full) that do not vary: bits, and how many."""
+    bits = Bits()
+    for channel in (0, 0, 255):
+        write_code(bits, {channel: 0}, 256)
+    return bits.joined()
+
+
+def code_arrays(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    codes, bits = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for s, (code, n) in canonical(lengths).items():
+        codes[s], bits[s] = code, n
+    return codes, bits
+
+
+def byte_stream(data: np.ndarray, width: int) -> bytes:
+    """The VP8L stream of an image of bytes (as green; alpha is full): back-references, and codes of its own."""
+    height, found = len(data) // width, references(data)
+    at, long, away = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    # a position is a literal where no reference covers it
+    covered = np.zeros(len(data) + 1, dtype=np.int64)
+    covered[at] += 1
+    np.add.at(covered, at + long, -1)
+    free = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    place = np.concatenate([free, at])
+    order = np.argsort(place, kind="stable")
+    near = near_table(width)
+    away = np.where(away < len(near), near[np.minimum(away, len(near) - 1)], away + len(NEIGHBOURS))
+    (lp, lx, ln), (dp, dx, dn) = prefixes(long), prefixes(away)
+    none = np.zeros(len(free), dtype=np.int64)
+    join = lambda a, b: np.concatenate([a, b])[order]
+    green, distance = join(data[free].astype(np.int64), 256 + lp), join(none - 1, dp)
+    bits = Bits()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+        bits.write(value, n)
+    sizes = (256 + LENGTH_CODES, DISTANCE_CODES)
+    lengths = [code_lengths({int(s): float(c) for s, c in zip(*np.unique(x[x >= 0], return_counts=True), strict=True)}, SHORT_CODE) for x in (green, distance)]
+    write_code(bits, lengths[0], sizes[0])
+    bits.write(*still_channels())
+    write_code(bits, lengths[1], sizes[1])
+    (gc, gb), (dc, db) = (code_arrays(x, n) for x, n in zip(lengths, sizes, strict=True))
+    there = distance >= 0
+    d = np.where(there, distance, 0)
+    body, n = packed([gc[green], join(none, lx), np.where(there, dc[d], 0), join(none, dx)], [gb[green], join(none, ln), np.where(there, db[d], 0), join(none, dn)])
+    head, size = bits.joined()
+    return (head | body << size).to_bytes((size + n + 7) // 8, "little")
+
+
 def riff(stream: bytes) -> bytes:
     body = b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * (len(stream) % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
@@ -452,6 +612,10 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool = False) -> np.n
     groups = [read_codes(bits, cache_bits) for _ in range(int(meta.max()) + 1 if meta is not None else 1)]
     codes = groups[0]
     n = width * height
+    if meta is None and not cache_bits and not any(t.top for t in codes[1:4]):
+        r, b, a = (t.symbol_list[0] for t in codes[1:4])
+        greens = read_greens(bits, n, width, codes[0], codes[4])
+        return greens.astype(np.uint32) << np.uint32(8) | np.uint32(a << 24 | r << 16 | b)
     out = [0] * n
     k = 0
     while k < n:
@@ -525,90 +689,111 @@ def decode_stream(stream: bytes) -> np.ndarray:
     return work
 
 
-def literal_head(head: bytes) -> tuple[int, tuple[Table, ...]] | None:
-    """Of a stream whose bytes after size and version begin so: where its pixels begin (in bits) and their codes, if it has literals only."""
-    bits = Bits(head)
-    try:
-        if bits.read(1) or bits.read(1) or bits.read(1):  # a transform, a cache, meta codes
-            return None
-        codes = read_codes(bits, 0)
-    except ValueError:
-        return None
-    if codes[0].greatest > 255 or max(t.top for t in codes[:4]) > 14:
-        return None
-    return bits.at, tuple(codes[:4])
-
-
-#: Bytes after the image header in which a literal image's codes must end to be recognised.
-HEAD_BYTES = 320
-
-
-def decode_all(streams: list[bytes]) -> list[np.ndarray]:
-    """Pixel arrays of many VP8L streams."""
-    out: list[np.ndarray | None] = [None] * len(streams)
-    groups: dict[tuple, list[tuple[int, int]]] = {}
-    for k, s in enumerate(streams):
-        head = s[:5]
-        found = None
-        if len(head) == 5 and head[0] == 0x2F and head[4] < 32:
-            for known, (bits, codes) in list(_KNOWN.items()):
-                if s.startswith(known[0], 5) and (s[5 + len(known[0])] if len(s) > 5 + len(known[0]) else 0) & known[2] == known[1]:
-                    found = bits, codes
-                    break
-            else:
-                found = literal_head(s[5 : 5 + HEAD_BYTES])
-                if found:
-                    if len(_KNOWN) > 7:
-                        del _KNOWN[next(iter(_KNOWN))]
-                    whole, rest = divmod(found[0], 8)
-                    _KNOWN[s[5 : 5 + whole], s[5 + whole] & ((1 << rest) - 1) if rest else 0, (1 << rest) - 1] = found
-        if found:
-            groups.setdefault(found[1], []).append((k, 40 + found[0]))
+def read_greens(bits: Bits, n: int, width: int, greens: Table, distances: Table) -> np.ndarray:
+    """The greens of n pixels of which nothing else varies."""
+    data, size = bits.data, bits.size
+    at, held, have = bits.at >> 3, 0, 0
+    held = int.from_bytes(data[at : at + 8], "little") >> (bits.at & 7)
+    have = 64 - (bits.at & 7)
+    at += 8
+    sym, cut, mask = greens.symbol_list, greens.size_list, (1 << greens.top) - 1
+    dsym, dcut, dmask = distances.symbol_list, distances.size_list, (1 << distances.top) - 1
+    near, short, out = near_distances(width), len(NEIGHBOURS), bytearray()
+    put, made = out.append, 0
+    while made < n:
+        if have < 64:
+            held |= int.from_bytes(data[at : at + 8], "little") << have
+            at, have = at + 8, have + 64
+            if at > size // 8 + 32:
+                raise ValueError("the stream ends early")
+        look = held & mask
+        s, c = sym[look], cut[look]
+        held >>= c
+        have -= c
+        if s < 256:
+            put(s)
+            made += 1
+            continue
+        p = s - 256
+        if p >= LENGTH_CODES:
+            raise ValueError("a cache hit without a cache")
+        if p < 4:
+            long = p + 1
         else:
-            out[k] = decode_stream(s)
-    for codes, members in groups.items():
-        for (k, _), image in zip(members, decode_literals([streams[k] for k, _ in members], members[0][1], codes), strict=True):
-            out[k] = image
-    return out
+            e = (p - 2) >> 1
+            long = ((2 + (p & 1)) << e) + 1 + (held & ((1 << e) - 1))
+            held >>= e
+            have -= e
+        look = held & dmask
+        p, c = dsym[look], dcut[look]
+        held >>= c
+        have -= c
+        if p < 4:
+            away = p + 1
+        else:
+            e = (p - 2) >> 1
+            away = ((2 + (p & 1)) << e) + 1 + (held & ((1 << e) - 1))
+            held >>= e
+            have -= e
+        away = near[away - 1] if away <= short else away - short
+        if away > made or made + long > n:
+            raise ValueError("a reference leaves the image")
+        if away >= long:
+            begin = made - away
+            out += out[begin : begin + long]
+        else:
+            out += (bytes(out[-away:]) * (long // away + 1))[:long]
+        made += long
+    bits.at = at * 8 - have
+    if bits.at > size:
+        raise ValueError("the stream ends early")
+    return np.frombuffer(bytes(out), dtype=np.uint8)
+
+
+class Runs:
+    """Of a code of literals only, what the next 16 bits hold: the symbols that end within them, as bytes, and their bits."""
+
+    def __init__(self, table: Table):
+        sym, cut, mask = table.symbol_list, table.size_list, (1 << table.top) - 1
+        self.rows = []
+        for look in range(1 << 16):
+            used, found = 0, []
+            while used + (c := cut[look >> used & mask]) <= 16:
+                found.append(sym[look >> used & mask])
+                used += c
+            self.rows.append((bytes(found), used))
+
+    def read(self, data: bytes, begin: int, n: int, table: Table) -> bytes:
+        """n symbols of data from the bit `begin` on."""
+        rows, parts, made, at = self.rows, [], 0, begin >> 3
+        held, have = int.from_bytes(data[at : at + 8], "little") >> (begin & 7), 64 - (begin & 7)
+        at += 8
+        while made < n:
+            if have < 16:
+                held |= int.from_bytes(data[at : at + 8], "little") << have
+                at, have = at + 8, have + 64
+                if at > len(data) + 32:
+                    raise ValueError("the stream ends early")
+            found, used = rows[held & 0xFFFF]
+            parts.append(found)
+            made += len(found)
+            held >>= used
+            have -= used
+        whole = b"".join(parts)
+        sizes = dict(zip(table.symbol_list, table.size_list, strict=True))
+        if at * 8 - have - sum(sizes[s] for s in whole[n:]) > 8 * len(data):
+            raise ValueError("the stream ends early")
+        return whole[:n]
 
 
-_KNOWN: dict[tuple[bytes, int, int], tuple[int, tuple[Table, ...]]] = {}
-
-
-def decode_literals(streams: list[bytes], begin: int, codes: tuple[Table, ...]) -> list[np.ndarray]:
-    """Images of one set of codes and literals only, one pixel of each at a time."""
-    sizes = [(int.from_bytes(s[1:5], "little") & 0x3FFF) + 1 for s in streams], [((int.from_bytes(s[1:5], "little") >> 14) & 0x3FFF) + 1 for s in streams]
-    count = np.array(sizes[0]) * np.array(sizes[1])
-    order = np.argsort(-count, kind="stable")
-    lengths = np.array([len(s) for s in streams])
-    data = b"".join(streams) + b"\0" * 16
-    windows = np.ndarray(shape=(len(data) - 8,), dtype="<u8", buffer=data, strides=(1,))
-    starts = (np.cumsum(lengths) - lengths)[order]
-    at, limit = starts * 8 + begin, (starts + lengths[order]) * 8
-    ordered = count[order]
-    most = int(ordered[0])
-    live = len(streams) - np.searchsorted(ordered[::-1], np.arange(most), side="right")
-    pixels = np.zeros((most, len(streams)), dtype=np.uint32)
-    looks = [np.tile((t.sizes << 8 | t.symbols).astype(np.uint32), 1 << (14 - t.top)) for t in codes]
-    mask, byte, seven = np.uint64((1 << 14) - 1), np.uint32(255), np.int64(7)
-    for k in range(most):
-        n = int(live[k])
-        here = at[:n]
-        value = windows[here >> 3] >> (here & seven).astype(np.uint64)
-        pixel, used = None, None
-        for look, shift in zip(looks, (8, 16, 0, 24), strict=True):
-            got = look[(value & mask).astype(np.int64)]
-            bits = got >> np.uint32(8)
-            value >>= bits.astype(np.uint64)
-            part = (got & byte) << np.uint32(shift)
-            pixel = part if pixel is None else pixel | part
-            used = bits if used is None else used + bits
-        pixels[k, :n] = pixel
-        here += used
-    if np.any(at > limit):
-        raise ValueError("a stream ends early")
-    out: list[np.ndarray] = [None] * len(streams)
-    columns = np.ascontiguousarray(pixels.T)
-    for place, k in enumerate(order.tolist()):
-        out[k] = columns[place, : int(count[k])].reshape(sizes[1][k], sizes[0][k])
-    return out
+@lru_cache(maxsize=4)
+def runs_of(table: Table) -> Runs:
+    return Runs(table)
+
+
+def decode_literals(stream: bytes, begin: int, table: Table) -> np.ndarray:
+    """An image of bytes whose greens are literals of a known code, from the bit `begin` on."""
+    size = int.from_bytes(stream[1:5], "little")
+    w, h = (size & 0x3FFF) + 1, ((size >> 14) & 0x3FFF) + 1
+    greens = np.frombuffer(runs_of(table).read(stream, begin, w * h, table), dtype=np.uint8)
+    return (greens.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)).reshape(h, w)

@@ -26,7 +26,6 @@ def test_webp_round_trips(trial):
                 stream, end = W.stream_of(file)
                 assert end == len(file)
                 assert np.array_equal(W.decode_stream(stream), pixels)
-                assert np.array_equal(W.decode_all([stream])[0], pixels)
 
 
 def test_hand_made_stream():
@@ -40,7 +39,6 @@ def test_hand_made_stream():
     for value, n in ((1, 1), (0, 1), (0, 1), (0, 1)):
         bits.write(value, n)
     assert W.decode_stream(bits.bytes()).tolist() == [[0xFFC80703] * 2]
-    assert W.decode_all([bits.bytes()])[0].tolist() == [[0xFFC80703] * 2]
 
 
 def test_broken_files_are_refused():
@@ -66,11 +64,11 @@ def test_texts_are_stored_and_read_back(odd, odd_texts, none, clashing):
 
 
 def test_equal_texts_have_equal_values_whatever_their_neighbours():
-    texts = ["one text", "another " * 3000, "é" * 77, "aaaa" * 900]
+    texts = ["one text", "another " * 3000, "é" * 77, "aaaa" * 900, "".join(chr(97 + k % 20) for k in range(5000)), "0110" * 40]
     payloads = [M.padded(t)[1] for t in texts]
     together = M.store(payloads)
     assert together == [M.store([p])[0] for p in payloads]
-    assert [p.tobytes() for p in M.read(together)] == payloads
+    assert [M.samples_of(p).tobytes() for p in M.read(together)] == payloads
     assert M.store(payloads[::-1])[::-1] == together
 
 
@@ -79,3 +77,50 @@ def test_columns(odd):
     for r in back:
         assert len(r["payload"]) % 64 == 0 and len(r["payload"]) >= r["n_bytes"]
         assert r["feature"].startswith("rows=")
+
+
+def test_the_smallest_form_is_taken():
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(200)]
+    prose = " ".join(rng.choice(words, 900))
+    cases = {"": 200, "short": 200, prose: 0.6 * len(prose), "01" * 2000: 200, "".join(map(str, rng.integers(0, 2, 4000))): 4000 / 6, prose[:2000] * 3: 0.25 * 6000}
+    for text, most in cases.items():
+        payload = M.padded(text)[1]
+        stored = M.store([payload])[0]
+        assert len(stored) < most and M.samples_of(M.read([stored])[0]).tobytes() == payload
+    kinds = {}
+    for name, samples in {"plain": b"Some quick words of a fox jumping by the lazy dog, once more", "references": prose.encode(), "palette": bytes(rng.choice([3, 9, 200], 4000).tolist()), "predictor": bytes((np.cumsum(rng.integers(0, 3, 6400)) % 256).tolist())}.items():
+        payload = samples + b"\0" * (-len(samples) % 64)
+        bits = W.Bits(M.stream_of(payload)[5:])
+        kinds[name] = (bits.read(1), bits.read(2))
+        assert M.samples_of(M.read_image(M.stream_of(payload))).tobytes() == payload
+    assert kinds["palette"] == (1, W.PALETTE) and kinds["predictor"] == (1, W.PREDICTOR) and kinds["references"][0] == kinds["plain"][0] == 0
+    assert len(M.stream_of(M.padded(prose)[1])) < len(M.plain_stream(np.frombuffer(M.padded(prose)[1], np.uint8)))
+
+
+def test_long_texts_are_whole_images():
+    rng = np.random.default_rng(6)
+    payload = bytes(rng.integers(97, 123, M.IMAGE_BYTES + 640).astype(np.uint8).tolist())
+    stored = M.store([payload])[0]
+    first, at = W.stream_of(stored)
+    second, end = W.stream_of(stored, at)
+    assert end == len(stored) and M.samples_of(M.read([stored])[0]).tobytes() == payload
+    assert [M.read_image(x).shape for x in (first, second)] == [(1 << 14, 64), (10, 64)]
+    one = W.stream_of(M.store([payload[: 1 << 16]])[0])[0]
+    assert np.array_equal(M.read_image(one), W.decode_stream(one))
+
+
+@pytest.mark.parametrize("trial", range(20))
+def test_references_cover_what_they_repeat(trial):
+    rng = np.random.default_rng(trial)
+    data = rng.choice(rng.integers(0, 256, [2, 3, 8, 200][trial % 4]), 64 * int(rng.integers(1, 60))).astype(np.uint8)
+    if trial > 10:
+        data = np.tile(data[: len(data) // 3 + 1], 4)[: len(data)]
+    end = 0
+    for at, long, away in W.references(data):
+        assert at >= end and 0 < away <= at and 5 <= long <= 4096
+        end = at + long
+        assert end <= len(data) and all(data[at + k] == data[at + k - away] for k in range(long))
+    assert np.array_equal(W.decode_stream(W.byte_stream(data, 64)), M.as_pixels(data))
+    values = rng.integers(1, 1 << 20, 300)
+    assert [tuple(int(x) for x in row) for row in zip(*W.prefixes(values), strict=True)] == [W.prefix_of(int(v)) for v in values]
