@@ -1,12 +1,15 @@
-"""Byte-level BPE encoding and decoding by corpus-level merge replay.
+"""Byte-level BPE encoding and decoding by merge replay with an inverted index.
 
-The distinct pre-tokens of a whole batch of documents are laid out in one array of positions. An inverted index
-holds, for each merge, the positions where its token pair stands; merges are applied in rank order over all
-words at once and only the neighbours that a merge touches are indexed again.  A worker keeps what it has
-encoded, up to a bound, so a frequent word is merged once and not once per occurrence.
+The distinct pre-tokens of a slice of documents that the worker has not met yet are laid out in one array of positions.
+An inverted index holds, for each merge, the positions where its token pair stands; merges are applied in rank order
+over all these words at once and only the neighbours that a merge touches are indexed again. A worker keeps what it has
+encoded, up to a bound, so a frequent word is merged once a worker and not once an occurrence. One replay over the
+distinct pre-tokens of the whole corpus gives the same ids, but its table has to meet every occurrence by a shuffle;
+the README has the figures why that is left out.
 
 Null texts count as empty; an empty text has no ids and decodes to no bytes.  Special tokens are not recognised.
-Ties between equal ranks go to the leftmost pair of a word, as in the public tiktoken library.
+Ties between equal ranks go to the leftmost pair of a word, as in the public tiktoken library. Each row is encoded by
+itself, whatever its id, so repeated rows have equal ids.
 """
 
 from __future__ import annotations
@@ -277,6 +280,9 @@ def replay_narrow(v: Vocabulary, index, heap, tok, rank_at, left, right) -> None
                 break
 
 
+# Fixed value: the pattern of the public byte-level vocabularies, in which a single space before a word begins its match.
+SPACE_LED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _DOUBLE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -284,7 +290,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 def pieces(text: str) -> list[str]:
     """text cut at each single space between two characters that are not white space.
 
-    No match of the byte-level patterns crosses such a place: the space can only begin the match that follows.
+    No match of SPACE_LED crosses such a place: the space can only begin the match that follows.
     """
     if _DOUBLE.search(text) or text[:1].isspace() or text[-1:].isspace():
         return _CUT.split(text)
@@ -292,10 +298,11 @@ def pieces(text: str) -> list[str]:
 
 
 class Memory:
-    """What a worker remembers: the ids (int32 bytes) of pieces that follow a space (later) and of those that begin a text (first)."""
+    """What a worker remembers: the ids (int32 bytes) of pieces that follow a space (later) and of those that begin a text
+    (first); for a pattern that is not SPACE_LED, of matches (later)."""
 
     def __init__(self, v: Vocabulary, pattern: str):
-        self.v, self.find = v, regex.compile(pattern).findall
+        self.v, self.find, self.space_led = v, regex.compile(pattern).findall, pattern == SPACE_LED
         self.first: dict[str, object] = {}
         self.later: dict[str, object] = {}
 
@@ -321,11 +328,22 @@ class Memory:
         flat, cuts = flat.tobytes(), (cuts * 4).tolist()
         return {w: flat[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
 
+    def learn_matches(self, rows: list[list[str]]) -> None:
+        if len(self.later) > MEMORY_PIECES:
+            used = set(chain.from_iterable(rows))
+            self.later = {p: x for p, x in self.later.items() if p in used}
+        self.later.update(self.values([w for w in set(chain.from_iterable(rows)) if w not in self.later]))
+
     def encode(self, texts: list[str]) -> pa.ListArray:
-        rows = [pieces(t) for t in texts]
-        self.learn(rows)
-        first, later = self.first, self.later.__getitem__
-        ids = [first[r[0]] + b"".join(map(later, r[1:])) for r in rows]
+        if self.space_led:
+            rows = [pieces(t) for t in texts]
+            self.learn(rows)
+            first, later = self.first, self.later.__getitem__
+            ids = [first[r[0]] + b"".join(map(later, r[1:])) for r in rows]
+        else:
+            rows = [self.find(t) for t in texts]
+            self.learn_matches(rows)
+            ids = [b"".join(map(self.later.__getitem__, r)) for r in rows]
         offsets = np.zeros(len(ids) + 1, dtype=np.int32)
         np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))

@@ -61,6 +61,8 @@ def test_texts_are_stored_and_read_back(odd, odd_texts, none, clashing):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert {k: r.asDict() for k, r in rows.items()} == {r["doc_id"]: r.asDict() for r in M.digests(clashing).collect()}
     assert M.digests(none).count() == 0
+    twice = M.digests(odd.unionByName(odd)).collect()
+    assert len(twice) == 2 * odd.count() and len({tuple(r) for r in twice}) == odd.count()
 
 
 def test_equal_texts_have_equal_values_whatever_their_neighbours():

@@ -105,6 +105,10 @@ def test_seating_follows_the_restaurant_process():
 
 def test_language_model_on_odd_and_empty_tables(odd, none, clashing):
     assert hpylm.query(none).count() == 0
+    twice = hpylm.query(odd.unionByName(odd)).collect()
+    assert len(twice) == 2 * odd.count()
+    for r in twice:
+        assert r["score"] == pytest.approx(next(x["score"] for x in twice if x["doc_id"] == r["doc_id"]), rel=1e-9)
     one, two = ({r["doc_id"]: r.asDict() for r in hpylm.query(d).collect()} for d in (odd, clashing))
     assert one.keys() == two.keys() and all(one[k]["n_tokens"] == two[k]["n_tokens"] and one[k]["score"] == pytest.approx(two[k]["score"], rel=1e-6) for k in one)
 
@@ -221,3 +225,5 @@ def test_secret_query(odd, none, clashing):
     assert sum(r["n_assign"] for r in rows.values()) == 3 and sum(r["n_access"] for r in rows.values()) == 3 and sum(r["n_hex"] for r in rows.values()) == 3
     assert {k: r.asDict() for k, r in rows.items()} == {r["doc_id"]: r.asDict() for r in secrets.query(clashing).collect()}
     assert rows[0]["spans"] == "" and secrets.query(none).count() == 0
+    twice = secrets.query(odd.unionByName(odd)).collect()
+    assert len(twice) == 2 * odd.count() and {tuple(r) for r in twice} == {tuple(r) for r in rows.values()}

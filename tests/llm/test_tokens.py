@@ -61,13 +61,36 @@ def test_token_counts(odd, odd_texts, none, clashing):
     own = Tokenizer.from_file(path)
     expected = {k: len(own.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(odd_texts)}
     for docs in (odd, clashing):
-        rows = token_counts.token_counts(docs, path, P.PATTERN).collect()
+        rows = token_counts.token_counts(docs, path).collect()
         for r in rows:
             if r["doc_id"] is not None:
                 assert r["n_tokens"] == expected[r["doc_id"]], r
                 assert r["n_bytes"] == len((odd_texts[r["doc_id"]] or "").encode())
                 assert r["over_limit"] == (r["n_tokens"] > 512)
-    assert token_counts.token_counts(none, path, P.PATTERN).count() == 0
+    assert token_counts.token_counts(none, path).count() == 0
+
+
+def test_other_patterns_and_repeated_rows(spark, odd, odd_texts):
+    """A pattern under which a space is no part of the word after it; rows that repeat are encoded each by itself."""
+    pattern = r"\S+|\s"
+    enc = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
+    rows = bpe.encode(odd.unionByName(odd), RANKS, pattern).collect()
+    assert len(rows) == 2 * odd.count()
+    assert all(r["ids"] == enc.encode_ordinary(odd_texts[r["doc_id"]] or "") for r in rows if r["doc_id"] is not None)
+    counted = token_counts.token_counts(odd.unionByName(odd), P.path("byte_bpe_50k.json")).collect()
+    assert len(counted) == len(rows) and len({(r["doc_id"], r["n_tokens"]) for r in counted}) == odd.count()
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    file = json.load(open(P.path("byte_bpe_50k.json")))
+    token_counts.check_supported(json.dumps(file).encode())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": file["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError):
+            token_counts.check_supported(json.dumps(file | change).encode())
 
 
 def test_whole_tokens_encode_alone_as_one():
