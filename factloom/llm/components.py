@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.where("a <> b").select(*ends).distinct(), "links")
     before = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.hash("low", "high").cast("decimal(38,0)"))).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
         if before == now:
             break
         before = now
