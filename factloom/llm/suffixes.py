@@ -151,10 +151,9 @@ class SuffixFamily:
     def add(self, docs: DataFrame) -> None:
         """Merge-join a batch's anchors with all runs; its first ones become a run. Ids are above those of earlier batches."""
         self.levels.compact(merge_runs)
-        path = shared_folder(self.spark, "anchors")
-        batch_anchors(docs, self.length, self.k).write.partitionBy("kind").parquet(path)
-        self.folders.append(path)
-        found = self.spark.read.schema(f"{SUFFIX}, kind int").parquet(path)
+        made = shared_folder(self.spark, "anchors")
+        batch_anchors(docs, self.length, self.k).write.partitionBy("kind").parquet(made)
+        found = self.spark.read.schema(f"{SUFFIX}, kind int").parquet(made)
         own = W.partitionBy("ch").orderBy("doc", "pos")
         place = F.struct("doc", "pos")
         rows = found.where(F.col("kind") == FIRST).select("kh", "ch", "doc", "pos", F.row_number().over(own).alias("r"), (F.first(place).over(own) != place).alias("later"))
@@ -165,10 +164,12 @@ class SuffixFamily:
         path = shared_folder(self.spark, "scanned")
         kind = F.when(known | F.col("later"), REPEAT).otherwise(FIRST)
         rows.where(known | F.col("later") | (F.col("r") == 1)).select("kh", "ch", "doc", "pos", kind.alias("kind")).write.partitionBy("kind").parquet(path)
-        self.folders.append(path)
+        drop_folder(self.spark, f"{made}/kind={FIRST}")
         scanned = self.spark.read.schema(f"{SUFFIX}, kind int").parquet(path)
         self.repeats += [t.where(F.col("kind") == REPEAT).select("doc", "pos") for t in (found, scanned)]
         self.levels.add(scanned.where(F.col("kind") == FIRST).select("kh", "ch", "doc", "pos"))
+        drop_folder(self.spark, f"{path}/kind={FIRST}")  # only what repeats is still needed
+        self.folders += [made, path]
 
     def stretches(self, texts: DataFrame, since: int | None = None) -> DataFrame:
         """doc, start, stop of what repeats in the batches added by this object; texts: all documents, of earlier calls too. since: the first id of those batches."""
