@@ -3,8 +3,8 @@
 A text's UTF-8 bytes, filled up with zeros to a positive multiple of 64, are the greens of an image of ROW_BYTES pixels
 a row. The format allows 16,384 rows, which are 1 MiB; a longer text is several images, one file after another, each of
 which any reader of the format opens. Of the ways to store an image the smallest is taken:
-- literals under one fixed code for text, which needs no code of its own (short texts);
-- back-references and codes of its own (most texts);
+- literals under one fixed code for text, which needs no code of its own;
+- back-references and codes of its own, tried where a tenth of the text or more repeats, or where it is not like text;
 - the same after the palette transform, which packs several pixels of few colours into one, where there are at most 16;
 - the same after a predictor (left or upper pixel) where that makes the samples more even.
 Colour cache and cross-colour transform have nothing to take out of images whose red and blue are always zero; the
@@ -30,8 +30,9 @@ ROW_BYTES, IMAGE_BYTES = 64, 64 << 14
 #: Fixed weights of the prefix code for text: by group of characters, each of its members'.
 WEIGHTS = {" ": 170, "e": 100, "taoinsrh": 65, "dlucm": 32, "fgpwybv": 16, "kjxqz.,\n": 6}
 PLAIN, HIGH, CONTROL = 0.8, 1.0, 0.3
-#: Texts below this are not worth codes of their own, which take about a hundred bytes.
-OWN_CODES = 320
+#: Texts below this are not worth codes of their own, which take about a hundred bytes; of the others those are tried of
+#: which so much repeats, or which the code for text does not shorten to this share.
+OWN_CODES, REPEATED, STRANGE = 320, 0.1, 0.75
 
 
 @lru_cache(maxsize=1)
@@ -73,8 +74,10 @@ def stream_of(payload: bytes) -> bytes:
     _, size, _, head_bits, _ = text_code()
     counts = np.bincount(samples, minlength=256)
     best, plain = None, 5 + (head_bits + int(counts @ size) + 7) // 8
-    if len(samples) >= OWN_CODES:
+    strange = plain > STRANGE * len(samples)
+    if len(samples) >= OWN_CODES and (strange or repeated(payload) >= REPEATED):
         best = webp.byte_stream(samples, ROW_BYTES)
+    if best is not None and strange:
         left, upper = entropy(np.diff(samples)), entropy(samples[ROW_BYTES:] - samples[:-ROW_BYTES])
         if min(left, upper) < 0.8 * entropy(samples):
             best = min(best, transformed(samples, (webp.PREDICTOR,), mode=1 if left < upper else 2), key=len)
@@ -84,6 +87,12 @@ def stream_of(payload: bytes) -> bytes:
     return plain_stream(samples) if best is None or len(best) >= plain else best
 
 
+def repeated(payload: bytes) -> float:
+    """Which share of the payload's strings of eight bytes came up before in it."""
+    strings = np.sort(np.ndarray(shape=(len(payload) - 7,), dtype="<u8", buffer=payload, strides=(1,)))
+    return np.count_nonzero(strings[1:] == strings[:-1]) / len(strings)
+
+
 def transformed(samples: np.ndarray, transforms: tuple, mode: int = 1) -> bytes:
     pixels, block = as_pixels(samples), 9
     modes = np.full(tuple(-(-n // (1 << block)) for n in pixels.shape), mode)

@@ -755,7 +755,7 @@ class Runs:
 
     def __init__(self, table: Table):
         sym, cut, mask = table.symbol_list, table.size_list, (1 << table.top) - 1
-        self.rows = []
+        self.rows, self.sizes = [], dict(zip(sym, cut, strict=True))
         for look in range(1 << 16):
             used, found = 0, []
             while used + (c := cut[look >> used & mask]) <= 16:
@@ -763,7 +763,7 @@ class Runs:
                 used += c
             self.rows.append((bytes(found), used))
 
-    def read(self, data: bytes, begin: int, n: int, table: Table) -> bytes:
+    def read(self, data: bytes, begin: int, n: int) -> bytes:
         """n symbols of data from the bit `begin` on."""
         rows, parts, made, at = self.rows, [], 0, begin >> 3
         held, have = int.from_bytes(data[at : at + 8], "little") >> (begin & 7), 64 - (begin & 7)
@@ -780,8 +780,7 @@ class Runs:
             held >>= used
             have -= used
         whole = b"".join(parts)
-        sizes = dict(zip(table.symbol_list, table.size_list, strict=True))
-        if at * 8 - have - sum(sizes[s] for s in whole[n:]) > 8 * len(data):
+        if at * 8 - have - sum(self.sizes[s] for s in whole[n:]) > 8 * len(data):
             raise ValueError("the stream ends early")
         return whole[:n]
 
@@ -795,5 +794,5 @@ def decode_literals(stream: bytes, begin: int, table: Table) -> np.ndarray:
     """An image of bytes whose greens are literals of a known code, from the bit `begin` on."""
     size = int.from_bytes(stream[1:5], "little")
     w, h = (size & 0x3FFF) + 1, ((size >> 14) & 0x3FFF) + 1
-    greens = np.frombuffer(runs_of(table).read(stream, begin, w * h, table), dtype=np.uint8)
+    greens = np.frombuffer(runs_of(table).read(stream, begin, w * h), dtype=np.uint8)
     return (greens.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)).reshape(h, w)
