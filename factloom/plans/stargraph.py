@@ -38,26 +38,16 @@ KINDS = {
 }
 
 
-#: Pieces of the line items that SQL below takes.
-SQL_PIECES = 48
-
-
-def sql_edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
-    """The part of edges() that SQL below has: of line items only those of SQL_PIECES pieces or more."""
-    return edges(spark, sf_dir, kinds, SQL_PIECES)
-
-
-def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(KINDS), least_pieces: int | None = None) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """id, source, target, type, confidence, source_type, target_type; the order of ids is the order of edges.
 
-    Only the tables of the kinds asked for are read. All line items count, or those of least_pieces or more.
+    Only the tables of the kinds asked for are read. All line items count.
     """
     t = lambda name: table(spark, sf_dir, name)
-    items = lambda: t("lineitem") if least_pieces is None else t("lineitem").where(F.col("l_quantity") >= least_pieces)
     key = lambda letter, c: F.concat(F.lit(letter), F.col(c))
     made = {
-        "Equip-Carry": lambda: items().groupBy(key("S", "l_suppkey").alias("source"), key("P", "l_partkey").alias("target")).agg(F.round(F.max(1 - F.col("l_discount")), 6).alias("confidence")),
-        "Unit-Equip": lambda: items().join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        "Equip-Carry": lambda: t("lineitem").groupBy(key("S", "l_suppkey").alias("source"), key("P", "l_partkey").alias("target")).agg(F.round(F.max(1 - F.col("l_discount")), 6).alias("confidence")),
+        "Unit-Equip": lambda: t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(key("C", "o_custkey").alias("source"), key("P", "l_partkey").alias("target")).agg(F.round(F.max(1 - F.col("l_discount")), 6).alias("confidence")),
         "Unit-Org": lambda: t("customer").select(key("C", "c_custkey").alias("source"), key("N", "c_nationkey").alias("target"), F.lit(0.9).alias("confidence")),
         "Weapon-Spec": lambda: t("part").select(key("P", "p_partkey").alias("source"), key("B", "p_brand").alias("target"), F.round(0.5 + F.col("p_size") / 101, 6).alias("confidence")),
@@ -80,10 +70,10 @@ def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(KINDS
     return out
 
 
-#: The same as common table expressions: nodes, and edges as sql_edges() gives them.
+#: The same as common table expressions: nodes, and all edges.
 SQL = """
-ec AS MATERIALIZED (SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, round(max(1 - l_discount), 6) AS confidence FROM lineitem WHERE l_quantity >= 48 GROUP BY 1, 2),
-ue AS MATERIALIZED (SELECT 'C' || o_custkey AS source, 'P' || l_partkey AS target, round(max(1 - l_discount), 6) AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48 GROUP BY 1, 2),
+ec AS MATERIALIZED (SELECT 'S' || l_suppkey AS source, 'P' || l_partkey AS target, round(max(1 - l_discount), 6) AS confidence FROM lineitem GROUP BY 1, 2),
+ue AS MATERIALIZED (SELECT 'C' || o_custkey AS source, 'P' || l_partkey AS target, round(max(1 - l_discount), 6) AS confidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 uo AS MATERIALIZED (SELECT 'C' || c_custkey AS source, 'N' || c_nationkey AS target, 0.9::DOUBLE AS confidence FROM customer),
 ws AS MATERIALIZED (SELECT 'P' || p_partkey AS source, 'B' || p_brand AS target, round(0.5::DOUBLE + p_size / 101::DOUBLE, 6) AS confidence FROM part),
 ex AS MATERIALIZED (SELECT * FROM (SELECT 'P' || p_partkey AS source, 'P' || lead(p_partkey) OVER (PARTITION BY p_type, p_size ORDER BY p_partkey) AS target, 0.7::DOUBLE AS confidence FROM part) WHERE target IS NOT NULL),

@@ -156,7 +156,7 @@ SELECT type, source_type, target_type, count(*) AS n FROM both_ways WHERE (type,
   ('Equip-Counter', 'Weapon System', 'Weapon System'), ('Campaign-Part', 'Campaign/Operation', 'Combat Unit'), ('Causal-Lead', 'Campaign/Operation', 'Campaign/Operation')) GROUP BY 1, 2, 3""")
 def x8_ontology_check(spark, sf_dir):
     """Edges both as they are and turned round; the turned ones mostly break the rules."""
-    e = stargraph.sql_edges(spark, sf_dir).select("type", "source_type", "target_type")
+    e = stargraph.edges(spark, sf_dir).select("type", "source_type", "target_type")
     both = e.unionByName(e.select("type", F.col("target_type").alias("source_type"), F.col("source_type").alias("target_type")))
     return X.ontology_check(both, ontology.relation_rules(spark)).groupBy("type", "source_type", "target_type").agg(F.count("*").alias("n"))
 
@@ -202,7 +202,7 @@ def x13_entity_listing(spark, sf_dir):
 fine AS (SELECT *, coalesce(max(confidence) OVER (PARTITION BY chunk_id, name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= confidence, false) AS duplicate FROM judged WHERE reason IS NULL),
 known AS (SELECT DISTINCT chunk_id, name, type FROM fine),
 said AS (SELECT a.chunk_id, a.name AS source, b.name AS target, ['Equip-Counter', 'Unit-Equip', 'Equip-Carry'][(a.pos % 3)::INT + 1] AS type FROM mentions a JOIN mentions b ON b.chunk_id = a.chunk_id AND b.pos = a.pos + 1),
-told AS (SELECT s.*, CASE WHEN p.name IS NULL OR q.name IS NULL THEN 'unknown_endpoint' WHEN NOT contains(lower(regexp_replace(text, '\s+', '', 'g')), lower(s.source || s.target)) THEN 'evidence_not_in_source'
+told AS (SELECT s.*, CASE WHEN p.name IS NULL OR q.name IS NULL THEN 'unknown_endpoint' WHEN NOT contains(lower(regexp_replace(text, '\\s+', '', 'g')), lower(s.source || s.target)) THEN 'evidence_not_in_source'
     WHEN NOT ((s.type = 'Equip-Counter' AND p.type = 'Weapon System' AND q.type = 'Weapon System') OR (s.type = 'Unit-Equip' AND p.type = 'Combat Unit' AND q.type IN ('Weapon System', 'Platform/Carrier'))
       OR (s.type = 'Equip-Carry' AND p.type = 'Platform/Carrier' AND q.type = 'Weapon System')) THEN 'invalid_type_or_direction'
     WHEN s.type = 'Equip-Counter' AND NOT regexp_matches(lower(s.source || ' ' || s.target), 'counter|defeat|destroy|intercept') THEN 'no_counter_statement' END AS reason
@@ -348,13 +348,13 @@ def g12_entity_documents(spark, sf_dir):
 
 @query(f"WITH {stargraph.SQL} SELECT a.name AS source_name, b.name AS target_name, e.confidence FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.type = 'Unit-Org' AND a.type = 'Combat Unit' AND b.type = 'Command Structure'")
 def g13_typed_pattern(spark, sf_dir):
-    return G.typed_pattern(stargraph.nodes(spark, sf_dir), stargraph.sql_edges(spark, sf_dir, ("Unit-Org",)), "Combat Unit", "Unit-Org", "Command Structure")
+    return G.typed_pattern(stargraph.nodes(spark, sf_dir), stargraph.edges(spark, sf_dir, ("Unit-Org",)), "Combat Unit", "Unit-Org", "Command Structure")
 
 
 @query(f"WITH {stargraph.SQL}, asked AS (SELECT 'C' || o_custkey AS source, 'P' || (o_orderkey % 2000) AS target, 'Unit-Equip' AS type FROM orders) SELECT there, count(*) AS n FROM (SELECT (source, target, type) IN (SELECT (source, target, type) FROM edges) AS there FROM asked) GROUP BY there")
 def g14_has_fact(spark, sf_dir):
     asked = table(spark, sf_dir, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("source"), F.concat(F.lit("P"), F.col("o_orderkey") % 2000).alias("target"), F.lit("Unit-Equip").alias("type"))
-    return G.has_fact(asked, stargraph.sql_edges(spark, sf_dir, ("Unit-Equip",))).groupBy("there").agg(F.count("*").alias("n"))
+    return G.has_fact(asked, stargraph.edges(spark, sf_dir, ("Unit-Equip",))).groupBy("there").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'P' || p_partkey AS id, 'size' AS key, p_size::VARCHAR AS value FROM part WHERE p_size > 0")
@@ -369,7 +369,7 @@ def g15_specification_candidates(spark, sf_dir):
 
 @query(f"WITH {stargraph.SQL}, b AS (SELECT 'node' AS part, type FROM nodes UNION ALL SELECT 'edge', type FROM edges) SELECT part, type, count(*) AS n FROM b GROUP BY GROUPING SETS ((part, type), (part))")
 def g17_profile(spark, sf_dir):
-    return G.profile(stargraph.nodes(spark, sf_dir), stargraph.sql_edges(spark, sf_dir))
+    return G.profile(stargraph.nodes(spark, sf_dir), stargraph.edges(spark, sf_dir))
 
 
 # ---- storing
@@ -379,14 +379,14 @@ def g17_profile(spark, sf_dir):
 SELECT e.type, count(*) AS n FROM edges e LEFT JOIN old o ON o.id = e.id WHERE o.id IS NULL OR o.confidence <> e.confidence GROUP BY e.type""")
 def s8_delta(spark, sf_dir):
     """Edges against an earlier state that lacks one kind and has other confidences."""
-    now = stargraph.sql_edges(spark, sf_dir)
+    now = stargraph.edges(spark, sf_dir)
     before = now.where("type <> 'Unit-Org'").withColumn("confidence", F.when(F.col("confidence") > 0.9, 0.1).otherwise(F.col("confidence")))
     return store.changed(now, before).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {stargraph.SQL} SELECT type, count(*) AS n FROM edges WHERE type IN ('Equip-Carry', 'Unit-Equip') GROUP BY type")
 def s9_load_kinds(spark, sf_dir):
-    e = stargraph.sql_edges(spark, sf_dir).withColumn("graph_id", F.lit("g")).withColumn("rel_type", F.col("type"))
+    e = stargraph.edges(spark, sf_dir).withColumn("graph_id", F.lit("g")).withColumn("rel_type", F.col("type"))
     return store.load(stargraph.nodes(spark, sf_dir).withColumn("graph_id", F.lit("g")), e, "g", ["Equip-Carry", "Unit-Equip"])[1].groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -401,7 +401,7 @@ def s10_catalogue(spark, sf_dir):
 def s12_migration(spark, sf_dir):
     """Units have their label already; edges of low confidence are of the legacy type."""
     n = stargraph.nodes(spark, sf_dir).withColumn("labels", F.when(F.col("type") == "Combat Unit", F.array("type")).otherwise(F.array().cast("array<string>")))
-    e = stargraph.sql_edges(spark, sf_dir).withColumn("rel_type", F.when(F.col("confidence") < 0.8, store.LEGACY_TYPE).otherwise(F.col("type")))
+    e = stargraph.edges(spark, sf_dir).withColumn("rel_type", F.when(F.col("confidence") < 0.8, store.LEGACY_TYPE).otherwise(F.col("type")))
     return store.migrate(n, e)[2]
 
 
@@ -434,7 +434,7 @@ _SUBS = f"{stargraph.SQL}, subs AS (SELECT id, (row_number() OVER (ORDER BY id)
 
 
 def subgraphs(spark, sf_dir) -> DataFrame:
-    e = stargraph.sql_edges(spark, sf_dir, ("Unit-Org", "Equip-Carry", "Equip-Counter"))
+    e = stargraph.edges(spark, sf_dir, ("Unit-Org", "Equip-Carry", "Equip-Counter"))
     ranked = G.numbered(e.select(F.col("id").alias("edge"), "type"), "edge", "")
     return ranked.select(F.col("edge").alias("sub"), (F.col("id").cast("long") - 1).alias("rank"), F.when(F.col("type") == "Unit-Org", 1).when(F.col("type") == "Equip-Carry", 2).otherwise(3).alias("depth"))
 
@@ -449,7 +449,7 @@ def q1_plan(spark, sf_dir):
 
 @query(f"WITH {_SUBS} SELECT CASE WHEN depth <= 1 THEN 'easy' WHEN depth = 2 THEN 'medium' ELSE 'hard' END AS difficulty, count(*) AS n FROM subs GROUP BY 1")
 def q2_difficulty(spark, sf_dir):
-    e = stargraph.sql_edges(spark, sf_dir, ("Unit-Org", "Equip-Carry", "Equip-Counter"))
+    e = stargraph.edges(spark, sf_dir, ("Unit-Org", "Equip-Carry", "Equip-Counter"))
     depth = F.when(F.col("type") == "Unit-Org", 1).when(F.col("type") == "Equip-Carry", 2).otherwise(3)
     return e.groupBy(T.difficulty(depth).alias("difficulty")).agg(F.count("*").alias("n"))
 
@@ -503,7 +503,7 @@ SELECT count(*) AS altered, count(*) FILTER (WHERE n.id IS NULL) AS unknown, cou
 LEFT JOIN edges e ON e.type = 'Equip-Carry' AND e.source = a.source AND e.target = a.replacement""")
 def q8_altered_facts(spark, sf_dir):
     """The target of each carrier's fact swapped for the next part."""
-    e = stargraph.sql_edges(spark, sf_dir, ("Equip-Carry",))
+    e = stargraph.edges(spark, sf_dir, ("Equip-Carry",))
     swapped = e.select("source", F.concat(F.lit("P"), F.substring("target", 2, 20).cast("long") + 1).alias("target"), "type")
     there = G.has_fact(swapped, e).join(stargraph.nodes(spark, sf_dir).select(F.col("id").alias("target"), F.lit(True).alias("known")), "target", "left")
     return there.agg(F.count("*").alias("altered"), F.count_if(F.col("known").isNull()).alias("unknown"), F.count_if("there").alias("present"))
@@ -554,7 +554,7 @@ def posed(spark, sf_dir):
     """Of each customer's fact (its nation) an item, with a fault of one of eight kinds in eight of nine; attempts, nodes and edges."""
     none = F.array().cast("array<string>")
     n = stargraph.nodes(spark, sf_dir).where(F.col("type").isin("Combat Unit", "Command Structure")).select("id", "name", "type", none.alias("aliases"), F.create_map().cast(G.ATTRIBUTES).alias("attributes"))
-    e = stargraph.sql_edges(spark, sf_dir, ("Unit-Org",))
+    e = stargraph.edges(spark, sf_dir, ("Unit-Org",))
     key = F.substring("source", 2, 20).cast("long")
     k = key % 9
     facts = e.join(n.select(F.col("id").alias("source"), F.col("name").alias("unit")), "source").join(n.select(F.col("id").alias("target"), F.col("name").alias("command")), "target")
