@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, decontaminate, hpylm, lines, media, quality, secrets, simhash, suffixes, token_counts
+from factloom.llm import bpe, decontaminate, divergence, hpylm, lines, media, quality, secrets, simhash, suffixes, token_counts, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.query(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_level_bpe": op1_byte_level_bpe,
     "op2_lossless_webp": op2_lossless_webp,
@@ -67,10 +75,13 @@ QUERIES = {
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op9_benchmark_decontamination": decontaminate.ORACLE,
     "op10_line_dedup": lines.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
 }
