@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, decontaminate, divergence, hpylm, lines, media, quality, secrets, simhash, suffixes, token_counts, whitening
+from factloom.llm import bpe, decontaminate, divergence, hpylm, lines, media, quality, secrets, simhash, suffixes, token_counts, whitening, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.query(table(spark, sf_dir, "embeddings"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_html_extraction": op12_html_extraction,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
