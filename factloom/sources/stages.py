@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +23,38 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the stages that stand, for scope().
+_STANDING: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written and read back: lineage is cut, and a lost executor costs no more than a re-read."""
+    """df written and read back: lineage is cut, and a lost executor costs no more than a re-read. The table stays until drop() or the end of a scope()."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _STANDING.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the tables of stored() that df reads; nothing else."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.search(r"-[0-9a-f]{32}$", folder):
+            _remove(df.sparkSession, folder)
+            _STANDING[:] = [p for p in _STANDING if p.rsplit("/", 1)[-1] != folder.rsplit("/", 1)[-1]]
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside are removed at the end; results that are wanted beyond it must be written elsewhere before."""
+    before = set(_STANDING)
+    try:
+        yield
+    finally:
+        for path in [p for p in _STANDING if p not in before]:
+            _remove(spark, path)
+            _STANDING.remove(path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
