@@ -6,7 +6,8 @@ learned, and one of as many ordinary runs of 8 or more characters, without those
 `[A-Za-z0-9+/_.=-]` (points at its ends do not count) that no base span touches and that has a digit or a capital
 after a small letter. It becomes a span of the kind under which it is likeliest if it is at least 2**`margin` times as
 likely under that as among ordinary runs, and per symbol at most `slack` bits less likely than the least likely
-hundredth of the kind's own sample is under automata that have not seen it. All candidates are scored, whatever the number of labels: a kind of few values has
+hundredth of the kind's own sample is under automata that have not seen it, and has the kinds of characters (digits, small
+letters, capitals, each mark) that all but a hundredth of that sample have: a number of sixteen digits is no hex string. All candidates are scored, whatever the number of labels: a kind of few values has
 an automaton too, smoothed all the more; a kind without any value has none, because nothing is known of its format.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Base spans always stay. Each row is
@@ -17,6 +18,7 @@ listed first.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import compress
 
 import xxhash
@@ -104,8 +106,13 @@ def hashed(value: str) -> tuple[int, str]:
     return (h - (1 << 64) if h >> 63 else h), value
 
 
+def makeup(value: str) -> set[str]:
+    """The kinds of characters of a value: digits, small letters and capitals are one each, any other is its own."""
+    return {"0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in value}
+
+
 class Formats:
-    """An automaton of each kind that has values, with the least likelihood a symbol that it accepts, and one of ordinary runs."""
+    """An automaton of each kind that has values, with the least likelihood a symbol that it accepts and the kinds of characters that it asks for, and one of ordinary runs."""
 
     def __init__(self, samples: dict[int, list[str]], margin: float = 20.0, slack: float = 0.5, share: float = 0.01):
         self.margin, self.kinds = 0.0, {}
@@ -113,7 +120,9 @@ class Formats:
             if values := samples.get(kind, []):
                 half = Automaton(values[::2]), Automaton(values[1::2])  # each scores what the other has learned from
                 scores = sorted(half[1 - k % 2].per_symbol(v) for k, v in enumerate(values))
-                self.kinds[kind] = (Automaton(values), scores[int(len(scores) * share)] - slack)
+                has = Counter(c for v in values for c in makeup(v))
+                asked = {c for c, n in has.items() if n >= len(values) - int(len(values) * share)}
+                self.kinds[kind] = (Automaton(values), scores[int(len(scores) * share)] - slack, asked)
         # ordinary runs have credentials among them: those that a kind explains better than the other half of the runs go
         halves = [samples.get(ORDINARY, [])[k::2] for k in range(2)]
         for _ in range(4):
@@ -125,7 +134,10 @@ class Formats:
     def kind(self, value: str, ordinary: Automaton | None = None) -> int:
         """The likeliest kind, -1 if none accepts the value."""
         best, found = (ordinary or self.ordinary).total(value) + self.margin, -1
-        for kind, (a, floor) in self.kinds.items():
+        has = makeup(value)
+        for kind, (a, floor, asked) in self.kinds.items():
+            if not asked <= has:
+                continue
             score = a.total(value)
             if score >= floor * (len(value) + 1) and score > best:
                 best, found = score, kind
