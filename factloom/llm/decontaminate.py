@@ -9,6 +9,7 @@ Only a block of items of bounded size is broadcast. Where the items exceed it, t
 and carry what has been found so far with them, so that the number of blocks changes no result: each row is answered
 by itself, null ids and repeated ids included, and words are removed after all blocks have been looked for in the text
 as it came. Null texts have no words; items without words match nothing; repeated item rows count by their distinct ids.
+Items without an id count as one item, which stands last among a document's items, as null; in the digest of ids it has no place.
 """
 
 from __future__ import annotations
@@ -35,12 +36,17 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(TO_WORDS).split()
 
 
+def in_order(item: str | None) -> tuple[bool, str]:
+    """The order of ids as texts, null last."""
+    return item is None, item or ""
+
+
 class Windows:
     """The windows of a block of items: word numbers, and by window length the known hashes and the windows' items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
         self.numbers: dict[bytes, int] = {}
-        self.by_length: dict[int, dict[bytes, list[str]]] = {}
+        self.by_length: dict[int, dict[bytes, list[str | None]]] = {}
         for item, text in items:
             ids = [self.numbers.setdefault(w, len(self.numbers)) for w in words_of(text)]
             if ids:
@@ -51,7 +57,7 @@ class Windows:
                         window.append(item)
         self.hashes = {n: np.unique(hashed(np.frombuffer(b"".join(ws), dtype=np.int32).reshape(-1, n))) for n, ws in self.by_length.items()}
 
-    def scan(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray], list[list[str]]]:
+    def scan(self, texts: list[str | None]) -> tuple[list[int], list[np.ndarray], list[list[str | None]]]:
         """Of each text: the number of words, the indices of hit words, the items found."""
         get = self.numbers.get
         rows = [[get(w, -1) for w in words_of(t)] for t in texts]
@@ -61,7 +67,7 @@ class Windows:
         for r, s in zip(rows, starts.tolist(), strict=False):
             flat[s : s + len(r)] = r
         hit = np.zeros(len(flat) + 1, dtype=np.int32)
-        items: list[set[str]] = [set() for _ in texts]
+        items: list[set[str | None]] = [set() for _ in texts]
         known = np.concatenate([[0], np.cumsum(flat >= 0)])
         for n, windows in self.by_length.items():
             if len(flat) < n:
@@ -75,7 +81,7 @@ class Windows:
                     hit[p] += 1
                     hit[p + n] -= 1
         hit = np.cumsum(hit) > 0
-        return n_words, [np.flatnonzero(hit[s : s + n]) for s, n in zip(starts.tolist(), n_words, strict=False)], [sorted(x) for x in items]
+        return n_words, [np.flatnonzero(hit[s : s + n]) for s, n in zip(starts.tolist(), n_words, strict=False)], [sorted(x, key=in_order) for x in items]
 
 
 def hashed(windows: np.ndarray) -> np.ndarray:
@@ -86,9 +92,9 @@ def hashed(windows: np.ndarray) -> np.ndarray:
     return h
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items (id as text, text), a block of about block_bytes of text at a time."""
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = total // block_bytes + 1
     for b in range(blocks):
@@ -112,7 +118,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, size: int, text_col: str, foun
             n, hits, items = shared.value.scan(cols[0])
             earlier = cols[1] if len(cols) > 1 else [None] * len(n)
             rows = zip(n, hits, items, earlier, strict=True)
-            return [[{"n_words": k, "hits": sorted({*h.tolist(), *(e["hits"] if e else ())}), "items": sorted({*i, *(e["items"] if e else ())})} for k, h, i, e in rows]]
+            return [[{"n_words": k, "hits": sorted({*h.tolist(), *(e["hits"] if e else ())}), "items": sorted({*i, *(e["items"] if e else ())}, key=in_order)} for k, h, i, e in rows]]
 
         source, seen = out, free_name("__seen", docs)
         if more:
