@@ -3,7 +3,8 @@
 A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends, A-Z lower-cased. Each batch of documents is
 merge-anti-joined with the runs that are there, which tells lines that are new from lines that some earlier batch had,
 and adds its own run, sorted by key hash: (hash, number of documents, largest doc_id, whether it was new). Full levels
-are compacted into the next. The runs are a family of levels (levels.py) that a later call can open and go on with.
+are compacted into the next. At the end most lines are new ones that no later batch had; only keys that some run has as
+known, or that are frequent in one run by itself, are counted over all runs. The runs are a family of levels (levels.py) that a later call can open and go on with.
 
 Whether a line goes depends on documents of every batch (their number, and the largest id), so documents are rewritten
 once all batches are in.
@@ -14,6 +15,8 @@ an id are one document: they count once and are treated alike; they have to come
 
 from __future__ import annotations
 
+from functools import reduce
+
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +62,24 @@ class LineRuns:
             found = found | F.coalesce(f"in_{k}", F.lit(False))
         self.levels.add(batch.select("key", "n_docs", "last_doc", (~found).alias("new")))
 
-    def merged(self) -> DataFrame | None:
-        """All runs as one."""
-        self.levels.compact(merge_runs, all_runs=True)
-        return self.levels.tables()[0] if self.levels.runs else None
+    def frequent(self, min_docs: int) -> DataFrame | None:
+        """key, n_docs, last_doc of the keys of at least min_docs documents; None without runs.
+
+        A key that no run has as known stands in one run only, so its documents are all in that row; the others, which the anti-joins
+        told, are summed up over the runs.
+        """
+        runs = self.levels.tables()
+        if not runs:
+            return None
+        union = lambda parts: reduce(DataFrame.unionByName, parts)
+        columns = ("key", "n_docs", "last_doc")
+        known = stored(union([r.where(~F.col("new")).select("key") for r in runs]).distinct(), "line-known")
+        alone = union([r.where(F.col("new") & (F.col("n_docs") >= min_docs)).select(*columns).join(known.hint("merge"), "key", "left_anti") for r in runs])
+        rows = union([r.select(*columns).join(known.hint("merge"), "key") for r in runs])
+        summed = rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")).where(F.col("n_docs") >= min_docs)
+        out = stored(alone.unionByName(summed), "line-frequent")
+        drop_stored(known)
+        return out
 
 
 #: The merge join of two runs. A key has its documents counted over both, and was new in one of them.
@@ -107,7 +124,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     runs = LineRuns(spark, folder, fanout)
     for b in range(batches):
         runs.add(keys.where(F.col("batch") == b).select("doc_id", "key"))
-    frequent = stored(runs.merged().where(F.col("n_docs") >= min_docs).select("key", "n_docs", "last_doc"), "line-frequent")
+    frequent = runs.frequent(min_docs)
     if folder is None:
         runs.levels.close()
     dropped = free_name("__gone", docs)
