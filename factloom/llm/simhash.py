@@ -318,8 +318,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 def set_links(sets: list[np.ndarray], asks: np.ndarray, least: float) -> np.ndarray:
     """The smallest position that each set is linked to by similarities of at least `least`, exactly.
 
-    The set whose elements are the most frequent is compared with all others, then each that asks and is not of its
-    class with all that are not of its own: in a group of near copies that is soon done.
+    The set whose elements are the most frequent is compared with all others, then each that asks with all that are
+    not of its own class. One of the first set's class has no need to ask where all others ask themselves: in a group of
+    near copies that is soon done.
     """
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     root = np.arange(len(sets))
@@ -335,10 +336,10 @@ def set_links(sets: list[np.ndarray], asks: np.ndarray, least: float) -> np.ndar
     mark = np.zeros(len(frequency), dtype=bool)
     for k in [central, *range(len(some))]:
         own = some[k]
-        if k != central and (not asks[own] or root[own] == root[some[central]]):
-            continue
-        if (root[some] == root[own]).all():
+        if (root[some] == root[some[0]]).all():
             break
+        if k != central and (not asks[own] or root[own] == root[some[central]] and asks[some[root[some] != root[own]]].all()):
+            continue
         elements = flat[begins[k] : begins[k] + sizes[own]]
         mark[elements] = True
         both = np.add.reduceat(mark[flat], begins, dtype=np.int64)
