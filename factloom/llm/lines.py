@@ -74,10 +74,10 @@ class LineRuns:
         union = lambda parts: reduce(DataFrame.unionByName, parts)
         columns = ("key", "n_docs", "last_doc")
         known = stored(union([r.where(~F.col("new")).select("key") for r in runs]).distinct(), "line-known")
-        alone = union([r.where(F.col("new") & (F.col("n_docs") >= min_docs)).select(*columns).join(known.hint("merge"), "key", "left_anti") for r in runs])
-        rows = union([r.select(*columns).join(known.hint("merge"), "key") for r in runs])
-        summed = rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")).where(F.col("n_docs") >= min_docs)
-        out = stored(alone.unionByName(summed), "line-frequent")
+        met = union([r.select(*columns).join(known.hint("merge"), "key").withColumn("sum", F.col("n_docs")) for r in runs])
+        alone = union([r.where(F.col("new") & (F.col("n_docs") >= min_docs)).select(*columns).withColumn("sum", F.lit(None).cast("long")) for r in runs])
+        summed = met.unionByName(alone).groupBy("key").agg(F.coalesce(F.sum("sum"), F.max("n_docs")).alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        out = stored(summed.where(F.col("n_docs") >= min_docs), "line-frequent")
         drop_stored(known)
         return out
 
