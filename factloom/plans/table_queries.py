@@ -17,7 +17,8 @@ from factloom.operators import similarity as S
 from factloom.plans import stargraph
 from factloom.plans.stargraph import table
 from factloom.sources import documents as files
-from factloom.sources import store
+from factloom.sources import stages, store
+from factloom.sources.versions import GraphFiles
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -433,6 +434,19 @@ def s8_delta(spark, sf_dir):
     return store.changed(now, before).groupBy("type").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {stargraph.SQL} SELECT type, count(*) AS n, count(*) FILTER (WHERE type = 'Weapon System' AND id LIKE '%0') AS renamed, sum(('0x' || substr(md5(CASE WHEN type = 'Weapon System' AND id LIKE '%0' THEN upper(name) ELSE name END), 1, 8))::BIGINT)::BIGINT AS names
+FROM nodes WHERE type <> 'Technical Specification' GROUP BY type""")
+def s11_versions(spark, sf_dir):
+    """A graph's nodes saved as a version, then units added, some weapons renamed and specifications taken out in a second, read back."""
+    graph = GraphFiles(spark, stages.shared_folder(spark, "graph"))
+    nodes = stargraph.nodes(spark, sf_dir)
+    unit, weapon = F.col("type") == "Combat Unit", (F.col("type") == "Weapon System") & F.col("id").endswith("0")
+    graph.save(0, nodes=nodes.where(~unit))
+    graph.save(1, nodes=nodes.where(unit | weapon).withColumn("name", F.when(weapon, F.upper("name")).otherwise(F.col("name"))), remove={"nodes": nodes.where("type = 'Technical Specification'").select("id")})
+    read = graph.read("nodes")
+    return read.groupBy("type").agg(F.count("*").alias("n"), F.count_if(weapon).alias("renamed"), F.sum(F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long")).alias("names"))
+
+
 @query(f"WITH {stargraph.SQL} SELECT type, count(*) AS n FROM edges WHERE type IN ('Equip-Carry', 'Unit-Equip') GROUP BY type")
 def s9_load_kinds(spark, sf_dir):
     e = stargraph.edges(spark, sf_dir).withColumn("graph_id", F.lit("g")).withColumn("rel_type", F.col("type"))
