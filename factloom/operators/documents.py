@@ -63,8 +63,8 @@ def chunks(docs: DataFrame, max_chars: int = 1800, overlap: int = 180, id_col: s
     return rows.select(F.format_string("%s:%s:%04d", "doc_id", "stem", "chunk_ix").alias("chunk_id"), "doc_id", "source", "chunk_ix", "text")
 
 
-def document_rows(chunk_table: DataFrame) -> DataFrame:
-    """doc_id, source, name of the documents that chunk ids name; of several sources the last chunk's."""
+def document_rows(chunk_table: DataFrame, pos: str = "chunk_id") -> DataFrame:
+    """doc_id, source, name of the documents that chunk ids name; of several sources the last chunk's, in the order of the column pos."""
     doc = F.substring_index("chunk_id", ":", 1)
-    last = chunk_table.groupBy(doc.alias("doc_id")).agg(F.max_by("source", "chunk_id").alias("source"))
+    last = chunk_table.groupBy(doc.alias("doc_id")).agg(F.max_by("source", pos).alias("source"))
     return last.select("doc_id", "source", base_name(F.col("source")).alias("name"))

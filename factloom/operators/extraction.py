@@ -307,6 +307,14 @@ def prompts(chunk_table: DataFrame, types: DataFrame, rules: DataFrame, mentions
     return rows.select("chunk_id", F.replace(filled, F.lit("{text}"), F.col("text")).alias("prompt"))
 
 
+def default_ids(annotations: DataFrame, pos: str) -> DataFrame:
+    """annotations with chunk_id, where it is null, as the row's number in the order of pos, from 0."""
+    from factloom.operators.graph import numbered
+
+    rows = numbered(annotations.drop("id"), pos, "r")
+    return rows.withColumn("chunk_id", F.coalesce("chunk_id", (F.substring("id", 2, 20).cast("long") - 1).cast("string"))).drop("id")
+
+
 def extractor_training(annotations: DataFrame, types: DataFrame, rules: DataFrame, template: str = FIRST_PROMPT) -> DataFrame:
     """chunk_id, instruction, input, output: training records of annotations (chunk_id, text, reply_json), whose labels are validated like replies.
 

@@ -91,12 +91,11 @@ def d4_chunk_ids(spark, sf_dir):
 
 
 @query("""
-SELECT doc AS doc_id, arg_max(source, chunk_id) AS source, arg_max(source, chunk_id) AS name
-FROM (SELECT 'd' || (doc_id % 50) AS doc, 'd' || (doc_id % 50) || ':' || source || ':' || doc_id AS chunk_id, source FROM documents) GROUP BY doc
+SELECT doc AS doc_id, arg_max(source, doc_id) AS source, arg_max(source, doc_id) AS name FROM (SELECT 'd' || (doc_id % 50) AS doc, doc_id, source FROM documents) GROUP BY doc
 """)
 def d5_document_rows(spark, sf_dir):
     doc = F.concat(F.lit("d"), F.col("doc_id") % 50)
-    return D.document_rows(docs(spark, sf_dir).select(F.concat_ws(":", doc, "source", F.col("doc_id").cast("string")).alias("chunk_id"), "source"))
+    return D.document_rows(docs(spark, sf_dir).select(F.concat_ws(":", doc, "source", F.col("doc_id").cast("string")).alias("chunk_id"), "source", "doc_id"), "doc_id")
 
 
 # ---- proposals: the capitalised words of each document, with types and confidences drawn by md5
@@ -643,6 +642,60 @@ def q17_report(spark, sf_dir):
     return Q.audit(*posed(spark, sf_dir))
 
 
+def graph_nodes(spark, sf_dir, *types: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return stargraph.nodes(spark, sf_dir).where(F.col("type").isin(*types)).select("id", "name", "type", none.alias("aliases"), F.create_map().cast(G.ATTRIBUTES).alias("attributes"))
+
+
+@query("""WITH posed AS (SELECT c_custkey % 12 AS k FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT CASE WHEN k IN (5, 9) THEN 'multiple_choice' ELSE 'single_choice' END AS question_type, CASE k WHEN 1 THEN 'choice question needs four options' WHEN 2 THEN 'non-distinct options' WHEN 3 THEN 'non-distinct options' WHEN 4 THEN 'wrong number of answers'
+  WHEN 5 THEN 'multi-choice needs 2-3 answers' WHEN 6 THEN 'option is not a same-type KG entity' WHEN 7 THEN 'correct options not grounded in answer entities' WHEN 8 THEN 'explanation discusses distractor' WHEN 9 THEN 'correct option does not name answer entity'
+  WHEN 10 THEN 'invalid option' WHEN 11 THEN 'invalid choice answer' ELSE 'ok' END AS reason, count(*) AS n FROM posed GROUP BY 1, 2""")
+def q5_choices(spark, sf_dir):
+    """Of each customer's fact (its nation) a choice among four nations, with a fault of one of eleven kinds in eleven of twelve."""
+    n, e = graph_nodes(spark, sf_dir, "Combat Unit", "Command Structure"), stargraph.edges(spark, sf_dir, ("Unit-Org",))
+    key = F.substring("source", 2, 20).cast("long")
+    k, nation = key % 12, F.substring("target", 2, 20).cast("long")
+    other = lambda by: F.concat(F.lit("NATION_"), (nation + by) % 25)
+    option = lambda label, text: F.struct(F.lit(label).alias("label"), text.alias("text"))
+    facts = e.join(n.select(F.col("id").alias("source"), F.col("name").alias("unit")), "source")
+    last = F.when(k == 2, other(0)).when(k == 6, F.col("unit")).when(k == 10, F.lit(None)).otherwise(other(3))
+    four = [option("A", other(0)), option("B", other(1)), option("C", other(2)), F.struct(F.when(k == 3, "E").otherwise("D").alias("label"), last.alias("text"))]
+    answer = F.when(k.isin(4, 9), F.array(F.lit("A"), F.lit("B"))).when(k == 7, F.array(F.lit("B"))).when(k == 11, F.array(F.lit("Z"))).otherwise(F.array(F.lit("A")))
+    item = F.struct(
+        F.concat(F.lit("Which command is "), "unit", F.lit(" under?")).alias("question"), F.when(k == 1, F.array(*four[:3])).otherwise(F.array(*four)).alias("options"), answer.alias("answer"),
+        F.when(k == 8, F.concat(F.lit("It is not "), other(1))).otherwise("So it is said.").alias("explanation"), F.array("id").alias("supporting_facts"), F.array("source").alias("referenced_entities"), F.array("target").alias("answer_entities"),
+    )
+    rows = facts.select(key.alias("attempt"), F.to_json(item, {"ignoreNullFields": "false"}).alias("reply_json"))
+    attempts = facts.select(key.alias("attempt"), F.when(k.isin(5, 9), "multiple_choice").otherwise("single_choice").alias("question_type"), F.lit(True).alias("truth"), F.array("id").alias("sub_edges"), F.array("source", "target").alias("sub_nodes"))
+    return Q.validate(Q.parse_items(rows), attempts, n, e).groupBy("question_type", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {stargraph.SQL}, facts AS (SELECT e.id, e.source, e.target, substr(e.target, 2)::BIGINT AS num FROM edges e WHERE e.type = 'Equip-Carry'),
+swapped AS (SELECT f.*, num % 7 AS k, num % 2 = 0 AS truth, CASE WHEN num % 7 = 3 THEN 'P-none' WHEN num % 7 = 4 THEN 'S1' ELSE 'P' || (num + 1) END AS other FROM facts f),
+told AS (SELECT s.*, n.id IS NOT NULL AS known, x.id IS NOT NULL AS there FROM swapped s LEFT JOIN nodes n ON n.id = s.other LEFT JOIN edges x ON x.type = 'Equip-Carry' AND x.source = s.source AND x.target = s.other)
+SELECT truth, CASE WHEN k = 1 THEN 'wrong truth label' WHEN truth THEN 'ok' WHEN k = 2 THEN 'missing altered fact' WHEN NOT known THEN 'invalid false-fact replacement' WHEN k = 4 THEN 'false-fact replacement has wrong entity type'
+  WHEN there THEN 'altered fact is present in graph' WHEN k = 5 THEN 'altered entity not in question' ELSE 'ok' END AS reason, count(*) AS n FROM told GROUP BY 1, 2""")
+def q5_false_facts(spark, sf_dir):
+    """Of each carrier's fact a statement that is true or false by the number of its part; false ones swap the part for the next one, with a fault of one of five kinds in five of seven."""
+    n, e = graph_nodes(spark, sf_dir, "Platform/Carrier", "Weapon System"), stargraph.edges(spark, sf_dir, ("Equip-Carry",))
+    number = F.substring("target", 2, 20).cast("long")
+    k, truth = number % 7, number % 2 == 0
+    other = F.when(k == 3, "P-none").when(k == 4, "S1").otherwise(F.concat(F.lit("P"), number + 1))
+    name = lambda at: n.select(F.col("id").alias(at), F.col("name").alias(f"{at}_name"))
+    facts = e.withColumn("other", other).join(name("source"), "source").join(name("target"), "target").join(name("other"), "other", "left")
+    said = F.when(truth, F.col("target_name")).when(k == 5, "something").otherwise(F.coalesce("other_name", F.lit("nothing")))
+    label = F.when(truth == (k != 1), "正确").otherwise("错误")
+    altered = F.when(~truth & (k != 2), F.struct(F.col("id").alias("edge_id"), F.col("other").alias("replacement_node_id")))
+    item = F.struct(
+        F.concat("source_name", F.lit(" carries the "), said, F.lit(".")).alias("question"), F.array().cast("array<string>").alias("options"), label.alias("answer"), F.lit("So it is said.").alias("explanation"),
+        F.array("id").alias("supporting_facts"), F.array("source").alias("referenced_entities"), F.array().cast("array<string>").alias("answer_entities"), altered.alias("altered_fact"),
+    )
+    rows = facts.select(F.col("id").alias("attempt"), F.to_json(item).alias("reply_json"))
+    attempts = facts.select(F.col("id").alias("attempt"), F.lit("true_false").alias("question_type"), truth.alias("truth"), F.array("id").alias("sub_edges"), F.array("source", "target").alias("sub_nodes"))
+    return Q.validate(Q.parse_items(rows), attempts, n, e).groupBy("truth", "reason").agg(F.count("*").alias("n"))
+
+
 # ---- metrics
 
 
