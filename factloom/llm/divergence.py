@@ -33,7 +33,7 @@ TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: A task's table of counts is handed on when it has so many terms.
 TERMS = 400_000
 #: Rows of words that one task takes at once; a block's rows are never divided.
-WORDS = 200_000
+WORDS = 20_000
 #: Groups up to which their table is broadcast.
 GROUPS = 50_000
 
