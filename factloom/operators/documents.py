@@ -52,7 +52,7 @@ def pack(parts: list[str], max_chars: int, overlap: int) -> list[str]:
 def chunks(docs: DataFrame, max_chars: int = 1800, overlap: int = 180, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """chunk_id, doc_id, source, chunk_ix, text. A narrow step: cleaning by built-in functions, packing by a small helper."""
     if max_chars < 100 or not 0 <= overlap < max_chars:
-        raise ValueError("Require max_chars >= 100 and 0 <= overlap < max_chars")
+        raise ValueError(f"chunks of {max_chars} characters with {overlap} in common: 100 at least, and less in common than that")
 
     @F.pandas_udf("array<string>")
     def packed(lists: pd.Series) -> pd.Series:

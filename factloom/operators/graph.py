@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 
 from factloom.functions.ontology import EQUIPMENT_TYPES, SPECIFICATION_KEYS
 from factloom.functions.text import folded, normalize_name
-from factloom.operators.similarity import gestalt, multiset_pairs
+from factloom.operators.similarity import gestalt, lcs_length, multiset_pairs
 from factloom.sources.stages import stored
 
 ATTRIBUTES = "map<string,struct<value:string,confidence:double,chunk_id:string>>"
@@ -68,7 +68,8 @@ def align(mentions: DataFrame, closure: DataFrame | None = None, threshold: floa
     A mention goes to the node that has one of its names, else (names of five characters or more) to the first node
     of a similar name whose attributes do not contradict it, else it is a node of its own. Mentions can only meet
     within a component of shared keys and similar keys, found by joins; components of one key are a node each, and
-    only the others are replayed in order, each in a task. seeds: nodes of an earlier graph, as mentions that come first.
+    only the others are replayed in order, each in a task, together with its pairs of similar keys: a mention looks at the nodes of keys
+    that are similar to its own, not at all nodes, so the work is that of mentions and pairs. seeds: nodes of an earlier graph, as mentions that come first.
     """
     rows = mentions if seeds is None else seeds.unionByName(mentions)
     names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
@@ -77,7 +78,7 @@ def align(mentions: DataFrame, closure: DataFrame | None = None, threshold: floa
     keys = stored(keyed.select("type", "canonical").distinct().withColumn("id", F.concat_ws("\u0001", "type", "canonical")), "alignment-distinct")
     own = keyed.where("k = 0").select("pos", "type", F.concat_ws("\u0001", "type", "canonical").alias("first"))
     shared = keyed.join(own, ["pos", "type"]).select(F.col("first").alias("a"), F.concat_ws("\u0001", "type", "canonical").alias("b"))
-    similar = _similar_keys(keys.where(F.length("canonical") >= 5), threshold)
+    similar = stored(_similar_keys(keys.where(F.length("canonical") >= 5), threshold), "alignment-similar")
     links = shared.unionByName(similar.select(F.concat_ws("\u0001", "type", "a").alias("a"), F.concat_ws("\u0001", "type", "b").alias("b"))).where("a <> b").distinct()
     roots = _components(keys.select(F.col("id").alias("node")), links)
     placed = stored(own.join(roots.withColumnRenamed("node", "first"), "first").select("pos", "first", "root"), "alignment-roots")
@@ -90,31 +91,41 @@ def align(mentions: DataFrame, closure: DataFrame | None = None, threshold: floa
     canon = keyed.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "canonical"))), lambda x: x["canonical"]).alias("keys"))
     complex_ = placed.join(single, "root", "left_anti").join(rows.select("pos", "type", "attributes", "confidence"), "pos").join(canon, "pos")
 
-    def replay(part: pd.DataFrame) -> pd.DataFrame:
+    near = similar.select(F.concat_ws("\u0001", "type", "a").alias("node"), "a", "b").join(roots, "node").select("root", "a", "b")
+
+    def replay(part: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        beside: dict[str, list[str]] = {}
+        for a, b in zip(pairs["a"], pairs["b"], strict=True):
+            beside.setdefault(a, []).append(b)
+            beside.setdefault(b, []).append(a)
         owner: dict[str, int] = {}
-        nodes: dict[int, tuple[str, dict]] = {}
+        founded: dict[str, list[tuple[int, int]]] = {}  # of a key the nodes that began with it, by their number
+        given_by: dict[int, dict] = {}
         out = []
         for m in part.sort_values("pos").itertuples():
             given = dict(m.attributes or {})
+            first = m.keys[0]
             node = None if m.pos < 0 else next((owner[k] for k in m.keys if k in owner), None)
-            if node is None and m.pos >= 0 and len(m.keys[0]) >= 5:
-                for at, (key, have) in nodes.items():
-                    if len(key) >= 5 and gestalt(m.keys[0], key) >= threshold and not any(k in have and have[k][0] != v and have[k][1] >= m.confidence for k, v in given.items()):
+            if node is None and m.pos >= 0 and len(first) >= 5:
+                for _, at, key in sorted((n, at, key) for key in beside.get(first, ()) for n, at in founded.get(key, ())):
+                    have = given_by[at]
+                    if gestalt(first, key) >= threshold and not any(k in have and have[k][0] != v and have[k][1] >= m.confidence for k, v in given.items()):
                         node = at
                         break
             if node is None:
                 node = m.pos
-                nodes[node] = (m.keys[0], {})
+                founded.setdefault(first, []).append((len(given_by), node))
+                given_by[node] = {}
             for k in m.keys:
                 owner[k] = node
-            have = nodes[node][1]
+            have = given_by[node]
             for k, v in given.items():
                 if k not in have or m.confidence > have[k][1]:
                     have[k] = (v, m.confidence)
             out.append((m.pos, node))
         return pd.DataFrame(out, columns=["pos", "node"])
 
-    return simple.unionByName(complex_.groupBy("root").applyInPandas(replay, "pos long, node long"))
+    return simple.unionByName(complex_.groupBy("root").cogroup(near.groupBy("root")).applyInPandas(replay, "pos long, node long"))
 
 
 def _similar_keys(keys: DataFrame, threshold: float) -> DataFrame:
@@ -122,7 +133,8 @@ def _similar_keys(keys: DataFrame, threshold: float) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([max(gestalt(x, y), gestalt(y, x)) >= threshold for x, y in zip(a, b, strict=True)])
+        # what gestalt matches is a common subsequence, which is found much sooner
+        return pd.Series([2 * lcs_length(x, y) >= threshold * (len(x) + len(y)) - 1e-9 and max(gestalt(x, y), gestalt(y, x)) >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
 
     texts = keys.select(F.col("canonical").alias("text")).distinct().select(F.col("text").alias("id"), "text")
     pairs = multiset_pairs(texts, threshold).where(near("text_a", "text_b")).select(F.col("text_a").alias("a"), F.col("text_b").alias("b"))

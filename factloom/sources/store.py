@@ -126,7 +126,7 @@ def training_records(items: DataFrame, fmt: str = "alpaca") -> DataFrame:
         return items.select(F.array(turn("from", "value", "human", asked), turn("from", "value", "gpt", reply)).alias("conversations"))
     if fmt == "chatml":
         return items.select(F.array(turn("role", "content", "user", asked), turn("role", "content", "assistant", reply)).alias("messages"))
-    raise ValueError(f"Unknown output format: {fmt}")
+    raise ValueError(f"no records of the form {fmt}; there are alpaca, sharegpt and chatml")
 
 
 def leaking(items: DataFrame) -> DataFrame:

@@ -207,3 +207,12 @@ def test_tables_of_graphs(spark):
 def test_texts_without_words_are_like_no_other(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "abc"), (5, "abc")], "id long, text string")
     assert sorted(r["id"] for r in S.first_kept(items).collect()) == [1, 2, 3, 4]
+
+
+def test_numbered_names_as_one_by_one(spark):
+    """Names that differ in one digit are similar at 0.9, so that all are one component; nations contradict."""
+    rng = random.Random(11)
+    rows = [(k, k, f"Customer#{rng.randrange(400):09d}" if k % 9 else f"customer #{rng.randrange(400):09d}", "Combat Unit", [], {"nation": str(rng.randrange(4))} if k % 3 else {}, rng.choice([0.5, 0.7, 0.9]), f"d:{k}") for k in range(150)]
+    placed = {r["pos"]: r["node"] for r in G.align(spark.createDataFrame(rows, MENTION), threshold=0.9).collect()}
+    expected = one_by_one([(p, e, n.replace("#", "#"), *rest) for p, e, n, *rest in rows], 0.9)
+    assert placed == expected and 1 < len(set(placed.values())) < 150
