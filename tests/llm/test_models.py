@@ -240,3 +240,14 @@ def test_secret_query(odd, none, clashing):
     assert rows[0]["spans"] == "" and secrets.query(none).count() == 0
     twice = secrets.query(odd.unionByName(odd)).collect()
     assert len(twice) == 2 * odd.count() and {tuple(r) for r in twice} == {tuple(r) for r in rows.values()}
+
+
+def test_words_that_every_task_has_once_are_counted(spark):
+    """Forty tasks of one text each: a word that each has once is more frequent than the words that one task has three times."""
+    texts = [(" ".join(["shared", *[f"own{k}x{j}" for j in range(20) for _ in range(3)]]),) for k in range(40)]
+    df = spark.createDataFrame(texts, "text string")
+    key = hpylm.hash_of([b"shared"])[0]
+    for parts in (40, 3):
+        found = hpylm.frequent_words(df.repartition(parts))
+        assert key in found.own and key in found.keys[:2]
+    assert list(found.keys) == list(hpylm.frequent_words(df.coalesce(1)).keys)
