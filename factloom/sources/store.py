@@ -42,10 +42,14 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
 def changed(current: DataFrame, previous: DataFrame, key: str = "id") -> DataFrame:
     """Rows of current that previous lacks or has otherwise."""
     maps = {f.name for f in current.schema if isinstance(f.dataType, MapType)}
-    # maps have no equality: their sorted entries have
-    whole = F.struct(*[(F.array_sort(F.map_entries(c)) if c in maps else F.col(c)).alias(c) for c in current.columns if c != key])
-    old = previous.select(key, whole.alias("__old"))
-    return current.withColumn("__new", whole).join(old, key, "left").where(~F.col("__new").eqNullSafe(F.col("__old"))).select(current.columns)
+    own = [c for c in current.columns if c != key]
+    # each row is shuffled once, as it is; maps have no equality: their sorted entries have
+    same = lambda c: F.array_sort(F.map_entries(c)) if c in maps or c.removeprefix("__old_") in maps else F.col(c)
+    old = previous.select(key, F.lit(True).alias("__there"), *[F.col(c).alias(f"__old_{c}") for c in own])
+    unchanged = F.col("__there").isNotNull()
+    for c in own:
+        unchanged = unchanged & same(c).eqNullSafe(same(f"__old_{c}"))
+    return current.join(old, key, "left").where(~unchanged).select(current.columns)
 
 
 def upsert(stored_rows: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
