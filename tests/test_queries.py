@@ -44,3 +44,15 @@ def test_entry(spark):
 
 def test_names_of_sql_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_items_are_parsed_once(spark):
+    """The branches of a validation read one table of items; none parses the replies again."""
+    from factloom.operators import qa as Q
+
+    items = Q.parse_items(spark.createDataFrame([(1, '{"question": "Who is it?"}')], "attempt long, reply_json string"))
+    attempts = spark.createDataFrame([(1, "cot", True, ["e"], ["n"])], "attempt long, question_type string, truth boolean, sub_edges array<string>, sub_nodes array<string>")
+    nodes = spark.createDataFrame([], "id string, name string, type string, aliases array<string>, attributes map<string,struct<value:string>>")
+    got = Q.validate(items, attempts, nodes, spark.createDataFrame([], "id string, source string, target string, type string"))
+    assert "parsed(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["reason"] for r in got.collect()] == ["missing explanation"]
