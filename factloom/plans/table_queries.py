@@ -118,15 +118,18 @@ def drawn(text, digits: int, modulus: int):
 
 def mentions(spark, sf_dir) -> DataFrame:
     words = docs(spark, sf_dir).where("text IS NOT NULL").select(F.col("doc_id").alias("chunk_id"), F.posexplode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+"), 0)).alias("pos", "name"))
+    return words.select("chunk_id", F.col("pos").cast("long").alias("pos"), "name", *mention_drawn(F.col("chunk_id"), F.col("pos"), F.col("name")))
+
+
+def mention_drawn(chunk_id, pos, name) -> list:
+    """type and confidence of a mention"""
     kinds = F.array(*map(F.lit, ("Weapon System", "Combat Unit", "Platform/Carrier", "Vehicle")))
-    return words.select(
-        "chunk_id", F.col("pos").cast("long").alias("pos"), "name", F.element_at(kinds, (drawn("name", 4, 4) + 1).cast("int")).alias("type"), (drawn(F.concat_ws("|", "chunk_id", "pos"), 6, 100) / 100).alias("confidence")
-    )
+    return [F.element_at(kinds, (drawn(name, 4, 4) + 1).cast("int")).alias("type"), (drawn(F.concat_ws("|", chunk_id, pos), 6, 100) / 100).alias("confidence")]
 
 
-def misspelt(c):
+def misspelt(c, pos=None):
     """Every seventh name, as the text does not have it."""
-    return F.when(F.col("pos") % 7 == 0, F.concat(c, F.lit("zzqx"))).otherwise(c)
+    return F.when((F.col("pos") if pos is None else pos) % 7 == 0, F.concat(c, F.lit("zzqx"))).otherwise(c)
 
 
 @query(f"""WITH {_MENTIONS}, judged AS (SELECT chunk_id, CASE WHEN pos % 7 = 0 THEN 'name_not_in_source' WHEN type = 'Vehicle' THEN 'unknown_type' WHEN confidence < 0.2 THEN 'low_confidence' ELSE 'kept' END AS reason FROM mentions)
@@ -251,13 +254,14 @@ def x1_validation(spark, sf_dir):
 
     A word found in the middle of a folded character stands for all of it: St is ßt where that comes first in the text; the SQL does the same.
     """
-    m = mentions(spark, sf_dir)
-    entity = F.struct("pos", F.struct(misspelt(F.col("name")).alias("name"), "type", "confidence").alias("x"))
-    kind = F.element_at(F.array(*map(F.lit, ("Equip-Counter", "Unit-Equip", "Equip-Carry"))), (F.col("pos") % 3 + 1).cast("int"))
-    relation = F.struct("pos", F.struct("source", "target", kind.alias("type"), "evidence").alias("x"))
-    ordered = lambda rows, item, name: rows.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["x"]).alias(name))
-    replies = ordered(m, entity, "entities").join(ordered(neighbours(spark, sf_dir), relation, "relations"), "chunk_id", "left")
-    replies = replies.select("chunk_id", F.to_json(F.struct("entities", "relations")).alias("reply_json"))
+    said = docs(spark, sf_dir).where("text IS NOT NULL").select(F.col("doc_id").alias("chunk_id"), F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+"), 0).alias("names")).where(F.size("names") > 0)
+    draw = lambda name, pos: mention_drawn(F.col("chunk_id"), pos, name)
+    kind = lambda pos: F.element_at(F.array(*map(F.lit, ("Equip-Counter", "Unit-Equip", "Equip-Carry"))), (pos % 3 + 1).cast("int"))
+    entities = F.transform("names", lambda name, pos: F.struct(misspelt(name, pos).alias("name"), *draw(name, pos)))
+    after = F.slice("names", F.lit(2), F.size("names"))
+    pairs = F.zip_with(F.slice("names", F.lit(1), F.size("names") - 1), after, lambda a, b: F.struct(a.alias("source"), b.alias("target")))
+    relations = F.transform(pairs, lambda x, pos: F.struct(x["source"].alias("source"), x["target"].alias("target"), kind(pos).alias("type"), F.concat_ws(" ", x["source"], x["target"]).alias("evidence")))
+    replies = said.select("chunk_id", F.to_json(F.struct(entities.alias("entities"), relations.alias("relations"))).alias("reply_json"))
     chunk_table = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
     kept, relations, lost = X.validate(replies, chunk_table, ontology.entity_types(spark), ontology.relation_rules(spark), min_confidence=0.2)
     count = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), F.lit("kept").alias("reason"), "n")
