@@ -251,3 +251,66 @@ def test_words_that_every_task_has_once_are_counted(spark):
         found = hpylm.frequent_words(df.repartition(parts))
         assert key in found.own and key in found.keys[:2]
     assert list(found.keys) == list(hpylm.frequent_words(df.coalesce(1)).keys)
+
+
+def test_words_are_taken_apart_as_by_plain_python(odd_texts):
+    import pyarrow as pa
+    import xxhash
+
+    texts = [*odd_texts, None, "a", "B ab ABC abcd", "end\x1f ", " \x85é ", "exactly8 and.more.than.16.bytes fifteen.bytes.x"]
+    keys, starts = hpylm.tokens(pa.array(["before", *texts]).slice(1))
+    plain = [tokens(t) for t in texts]
+    assert list(starts) == list(np.cumsum([0, *map(len, plain)]))
+    words = [w for t in plain for w in t]
+    known = dict(zip(words, keys.tolist(), strict=True))
+    assert [known[w] for w in words] == keys.tolist() and len(set(known.values())) == len(known) and known.pop(b"\n") == hpylm.END
+    assert hpylm.hash_of(list(known)).tolist() == list(known.values())
+    assert all(k & 63 == xxhash.xxh32_intdigest(w if len(w) <= 3 else w[-2:]) % 63 + 1 for w, k in known.items())
+    assert [len(x) for x in hpylm.tokens(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_shuffles_carry_blocks_and_no_row_for_each_token_or_pair(spark, monkeypatch):
+    monkeypatch.setattr(hpylm, "HOT_WORDS", 6)
+    rng = random.Random(8)
+    words = ["w%d" % k for k in range(2000)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, k=200))) for k in range(400)], "doc_id long, text string")
+    sc = spark.sparkContext
+    sc.setJobGroup("lm-blocks", "")
+    try:
+        scored = hpylm.query(docs).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in jobs.getJobIdsForGroup("lm-blocks") for s in jobs.getJobInfo(j).stageIds}
+    shuffled = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    n_tokens = sum(r["n_tokens"] for r in scored)
+    assert len(scored) == 400 and n_tokens == 400 * 201 and 0 < shuffled < n_tokens / 10
+
+
+def test_blocks_of_many_batches_and_tasks_add_up(spark, monkeypatch):
+    """Sums that are folded, and sent off early, are those of one task; a block's words keep their own rows."""
+    rng = random.Random(4)
+    rows = [(" ".join("w%d" % min(rng.expovariate(0.02), 400) for _ in range(60)),) for _ in range(150)]
+    df = spark.createDataFrame(rows, "text string")
+    frequent = hpylm.frequent_words(df)
+
+    def all_of(blocks):
+        found = {}
+        for x in hpylm.blocks_of(blocks.toArrow().to_batches()):
+            ends = np.cumsum(x.width)
+            for at, key in enumerate(x.key.tolist()):
+                assert key not in found
+                pairs = slice(ends[at] - x.width[at], ends[at])
+                found[key] = (int(x.total[at]), x.ctx[pairs].tolist(), x.n[pairs].tolist())
+        return found
+
+    one = all_of(hpylm.counts(df.coalesce(1), frequent))
+    assert one == all_of(hpylm.counts(df.repartition(7), frequent))
+    plain = Counter(t for r in rows for t in tokens(r[0]))
+    assert sorted(x[0] for x in one.values()) == sorted(plain.values()) and all(sum(x[2]) == x[0] for x in one.values())
+    batches = [b for k in range(0, 150, 30) for b in df.offset(k).limit(30).toArrow().to_batches()]
+    count = lambda texts: (k := np.unique(hpylm.tokens(texts)[0], return_counts=True)) and (k[0], np.zeros(len(k[0]), dtype=np.uint8), k[1])
+    monkeypatch.setattr(hpylm, "FOLD_ROWS", 300)
+    sent = list(hpylm.sent(iter(batches), count, 3))
+    key, _, n = hpylm.received(iter(sent))
+    assert len(sent) > 1 and dict(zip(key.tolist(), n.tolist(), strict=True)) == {k: x[0] for k, x in one.items()}
