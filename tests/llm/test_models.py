@@ -257,7 +257,7 @@ def test_words_are_taken_apart_as_by_plain_python(odd_texts):
     import pyarrow as pa
     import xxhash
 
-    texts = [*odd_texts, None, "a", "B ab ABC abcd", "end\x1f ", " \x85é ", "exactly8 and.more.than.16.bytes fifteen.bytes.x"]
+    texts = [*odd_texts, None, "a", "B ab ABC abcd", "end\x1f ", " \x85é ", "exactly8 and.more.than.16.bytes fifteen.bytes.x", " ".join(c * n for n in (63, 64, 65, 300) for c in "xyz"), "long" * 5_000_000 + " " + "long" * 4_999_999]
     keys, starts = hpylm.tokens(pa.array(["before", *texts]).slice(1))
     plain = [tokens(t) for t in texts]
     assert list(starts) == list(np.cumsum([0, *map(len, plain)]))
